@@ -27,35 +27,33 @@ DAY_AUDIT = r"(\d{1,2})(?:st|nd|rd|th)?\s+([A-Za-z]+)\s+(\d{4})"
 ISO = r"(\d{4})-(\d{2})-(\d{2})"
 
 
-def _month_number(name: Column) -> Column:
-    """Full or three-letter month name to its number, NULL otherwise."""
-    low = F.lower(name)
-    full = F.array_position(F.array(*[F.lit(m) for m in MONTHS]), low)
-    short = F.array_position(F.array(*[F.lit(m[:3]) for m in MONTHS]), low)
-    return F.nullif(F.greatest(full, short), F.lit(0))
-
-
-def _date(day: Column, month: Column, year: Column) -> Column:
-    """Real calendar date or NULL; ``31 February`` is NULL."""
-    number = _month_number(month).cast("string")
-    text = F.when(F.length(day) > 0, F.concat_ws("-", year, number, day))
-    return F.when(number.isNotNull(), F.try_to_date(text, "yyyy-M-d"))
+def _month_map() -> Column:
+    """Full and three-letter month names to their numbers."""
+    pairs = {name: i for i, m in enumerate(MONTHS, 1) for name in (m, m[:3])}
+    return F.create_map(*[F.lit(v) for kv in pairs.items() for v in (kv[0], str(kv[1]))])
 
 
 def _by_pattern(text: Column, pattern: str, day: int, month: int, year: int) -> Column:
+    """Real calendar date or NULL; ``31 February`` is NULL.
+
+    Texts without a match are filtered before parsing, since a failed parse
+    costs far more than the match.
+    """
     def part(g: int) -> Column:
         return F.regexp_extract(text, pattern, g)
 
-    return _date(part(day), part(month), part(year))
+    number = F.try_element_at(_month_map(), F.lower(part(month)))
+    return F.when(text.rlike(pattern), F.try_to_date(F.concat_ws("-", part(year), number, part(day)), "yyyy-M-d"))
 
 
 def _iso(text: Column) -> Column:
-    return F.try_to_date(F.nullif(F.regexp_extract(text, ISO, 0), F.lit("")), "yyyy-MM-dd")
+    return F.when(text.rlike(ISO), F.try_to_date(F.regexp_extract(text, ISO, 0), "yyyy-MM-dd"))
 
 
-def _last_date(parts: Column, parse) -> Column:
-    """First non-NULL date of the parts, read from the right."""
-    found = F.filter(F.transform(F.reverse(parts), parse), lambda d: d.isNotNull())
+def _last_date(parts: Column, clean, parse) -> Column:
+    """First non-NULL date of the cleaned parts, read from the right."""
+    cleaned = F.transform(F.reverse(parts), clean)
+    found = F.filter(F.transform(cleaned, parse), lambda d: d.isNotNull())
     return F.get(found, F.lit(0))
 
 
@@ -77,23 +75,22 @@ def event_date(text: Column, range_end: bool = True) -> Column:
     plain = F.regexp_replace(_known(text), ORDINAL, "$1")
     plain = F.regexp_replace(_strip(plain, (*CLOCK, DAYTIME)), EDGE, "")
 
-    def parse(part: Column) -> Column:
-        part = F.regexp_replace(part, EDGE if not range_end else r"^\s+|\s+$", "")
-        if range_end:
-            return F.coalesce(_by_pattern(part, RANGE, 2, 3, 4), _by_pattern(part, DAY, 1, 2, 3), _iso(part))
-        first = F.regexp_replace(part, RANGE_START, "$1 $2 $3")
-        return F.coalesce(_by_pattern(first, DAY, 1, 2, 3), _iso(first))
-
-    return _last_date(F.split(plain, ","), parse)
+    if range_end:
+        return _last_date(
+            F.split(plain, ","), lambda p: F.trim(p),
+            lambda p: F.coalesce(_by_pattern(p, RANGE, 2, 3, 4), _by_pattern(p, DAY, 1, 2, 3), _iso(p)))
+    return _last_date(
+        F.split(plain, ","),
+        lambda p: F.regexp_replace(F.regexp_replace(p, EDGE, ""), RANGE_START, "$1 $2 $3"),
+        lambda p: F.coalesce(_by_pattern(p, DAY, 1, 2, 3), _iso(p)))
 
 
 def audit_date(text: Column) -> Column:
     """Date by the audit rules: split first, clean each part, wider ranges."""
-    def parse(part: Column) -> Column:
-        clean = F.regexp_replace(_strip(part, (*CLOCK, DAYTIME_AUDIT)), EDGE, "")
-        return F.coalesce(_by_pattern(clean, RANGE_AUDIT, 2, 3, 4), _by_pattern(clean, DAY_AUDIT, 1, 2, 3), _iso(clean))
-
-    return _last_date(F.split(_known(text), ","), parse)
+    return _last_date(
+        F.split(_known(text), ","),
+        lambda p: F.regexp_replace(_strip(p, (*CLOCK, DAYTIME_AUDIT)), EDGE, ""),
+        lambda p: F.coalesce(_by_pattern(p, RANGE_AUDIT, 2, 3, 4), _by_pattern(p, DAY_AUDIT, 1, 2, 3), _iso(p)))
 
 
 def date_status(text: Column, date: Column, cutoff_year: int) -> Column:

@@ -36,4 +36,5 @@ def severity(x: str) -> str:
 
 
 def even(x: str, digits: int) -> str:
-    return f"round_even({x}, {digits})"
+    """Half-even rounding of the shortest decimal form, as Spark's bround does it."""
+    return f"CAST(round_even(CAST(CAST({x} AS VARCHAR) AS DECIMAL(38, 20)), {digits}) AS DOUBLE)"

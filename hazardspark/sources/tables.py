@@ -106,8 +106,7 @@ def merge_fragments(rows: DataFrame, markers: tuple[str, ...] = ("sl.no", "slide
         return F.regexp_replace(F.trim(F.coalesce(cell, F.lit("None"))), "\n", " ")
 
     heads = rows.where(F.col("row_no") == 0).select("fragment", F.transform("cells", flat).alias("_head"))
-    is_header = reduce(lambda a, b: a | b, [
-        F.exists("_head", lambda h, m=m: F.lower(h).contains(m)) for m in markers])
+    is_header = F.exists("_head", lambda h: reduce(lambda a, b: a | b, [F.lower(h).contains(m) for m in markers]))
     by_position = F.transform(F.sequence(F.lit(0), F.size("_head") - 1), lambda i: i.cast("string"))
     heads = heads.select(
         "fragment", is_header.alias("_named"), F.when(is_header, F.col("_head")).otherwise(by_position).alias("_names"))
