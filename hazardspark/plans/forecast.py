@@ -11,10 +11,10 @@ from hazardspark.plans.risk import RISKED
 
 PROJECTED = """projected AS (
   SELECT station_id, station_name, district, s, '+6h' AS forecast_horizon, 6 AS horizon_h, c6 AS c,
-    a24 * 18e0 / 24e0 + c6 AS p24, a72 * 66e0 / 72e0 + c6 AS p72, a7d + c6 AS p7d FROM fx_stations
-  UNION ALL SELECT station_id, station_name, district, s, '+12h', 12, c12, a24 * 12e0 / 24e0 + c12, a72 * 60e0 / 72e0 + c12, a7d + c12 FROM fx_stations
-  UNION ALL SELECT station_id, station_name, district, s, '+24h', 24, c24, c24, a72 * 48e0 / 72e0 + c24, a7d * 6e0 / 7e0 + c24 FROM fx_stations
-  UNION ALL SELECT station_id, station_name, district, s, '+48h', 48, c48, c48 - c24, a24 + c48, a7d * 5e0 / 7e0 + c48 FROM fx_stations)
+    a24 * (18e0 / 24e0) + c6 AS p24, a72 * (66e0 / 72e0) + c6 AS p72, a7d + c6 AS p7d FROM fx_stations
+  UNION ALL SELECT station_id, station_name, district, s, '+12h', 12, c12, a24 * (12e0 / 24e0) + c12, a72 * (60e0 / 72e0) + c12, a7d + c12 FROM fx_stations
+  UNION ALL SELECT station_id, station_name, district, s, '+24h', 24, c24, c24, a72 * (48e0 / 72e0) + c24, a7d * (6e0 / 7e0) + c24 FROM fx_stations
+  UNION ALL SELECT station_id, station_name, district, s, '+48h', 48, c48, c48 - c24, a24 + c48, a7d * (5e0 / 7e0) + c48 FROM fx_stations)
 """
 STATION = (
     ", " + PROJECTED
