@@ -49,7 +49,7 @@ def with_views(names: str, sql: str) -> str:
     return "WITH " + ",\n".join(ctes) + ("\n" if sql.lstrip().upper().startswith(",") else "\n") + sql
 
 
-def query(name: str, views: str = "", sql: str | None = None):
+def query(name: str, views: str = "", sql: str | None = None, recursive: bool = False):
     """Register ``fn(tables) -> DataFrame`` under ``name``."""
 
     def wrap(fn: Callable[[Tables], DataFrame]):
@@ -60,7 +60,8 @@ def query(name: str, views: str = "", sql: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = run
         if sql is not None:
-            ORACLES[name] = with_views(views, sql) if views else sql
+            text = with_views(views, sql) if views else sql
+            ORACLES[name] = text.replace("WITH ", "WITH RECURSIVE ", 1) if recursive else text
         return fn
 
     return wrap
