@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
@@ -11,6 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardspark.operators import dataset, metrics
+from hazardspark.session import shared_dir
 
 # fixed values: conditioning factors
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
@@ -34,29 +36,53 @@ def prep_pipeline(numeric=NUMERIC, categorical=CATEGORICAL) -> Pipeline:
     return Pipeline(stages=prep_stages(numeric, categorical))
 
 
-def _fit(df: DataFrame, classifier, numeric, categorical) -> PipelineModel:
-    return Pipeline(stages=[*prep_stages(numeric, categorical), classifier]).fit(df)
+ROWS_PER_PARTITION = 50_000
+
+
+def _training_rows(df: DataFrame, label: str, numeric, categorical) -> tuple[DataFrame, int]:
+    """The needed columns, cached for the many passes of a fit, and their count."""
+    rows = df.select(*numeric, *categorical, label).persist()
+    return rows, rows.count()
+
+
+def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
+    """Fit on cached rows.
+
+    Iterative fits run thousands of short stages, so small data is kept in few
+    partitions; large data keeps the partitions it has.
+    """
+    packed = rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
+    model = Pipeline(stages=[*prep_stages(numeric, categorical), classifier]).fit(packed)
+    rows.unpersist()
+    return model
 
 
 def fit_logistic(df: DataFrame, c: float = 1.0, label: str = "label", numeric=NUMERIC, categorical=CATEGORICAL) -> PipelineModel:
     """Ridge logistic regression; ``c`` weighs the data against the penalty."""
-    reg = 1.0 / (c * df.count())
+    rows, n = _training_rows(df, label, numeric, categorical)
+    reg = 1.0 / (c * n)
     clf = LogisticRegression(labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=1000)
-    return _fit(df, clf, numeric, categorical)
+    return _fit(rows, n, clf, numeric, categorical)
 
 
 def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, leaf: int = 3, seed: int = 42, label: str = "label",
                numeric=NUMERIC, categorical=CATEGORICAL) -> PipelineModel:
+    rows, n = _training_rows(df, label, numeric, categorical)
     clf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
-    return _fit(df, clf, numeric, categorical)
+    return _fit(rows, n, clf, numeric, categorical)
 
 
 def fit_boosted(df: DataFrame, rounds: int = 200, rate: float = 0.05, depth: int = 6, subsample: float = 0.8,
                 columns: float = 0.8, seed: int = 42, label: str = "label", numeric=NUMERIC,
                 categorical=CATEGORICAL) -> PipelineModel:
+    rows, n = _training_rows(df, label, numeric, categorical)
+    # Boosting extends the lineage every round; checkpoints cut it.
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/rdd")
     clf = GBTClassifier(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
                         featureSubsetStrategy=str(columns), seed=seed)
-    return _fit(df, clf, numeric, categorical)
+    return _fit(rows, n, clf, numeric, categorical)
 
 
 def score(df: DataFrame, model: PipelineModel, prob: str = "prob") -> DataFrame:

@@ -49,7 +49,7 @@ def rolling_windows(daily: DataFrame, complete: str = "each", span: int = 56) ->
     """
     number = F.col("_day")
     own = F.floor(number / span).cast("int")
-    needed = F.array_distinct(F.array(own, F.floor((number + 6) / span).cast("int")))
+    needed = F.sequence(own, F.floor((number + 6) / span).cast("int"))
     spread = daily.withColumn("_day", day_number(F.col("d"))).withColumn("_span", F.explode(needed))
     base = Window.partitionBy("cell_id", "_span").orderBy("_day")
     sums, counts = {}, {}

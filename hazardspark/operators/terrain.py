@@ -31,6 +31,8 @@ def neighbourhood(cells: DataFrame, meta: GridMeta, value: str = "z", tile: int
     Cells are sent to square tiles, border cells also to the tiles beside
     theirs (about 1.6 % more rows). West and east come from the row, north and
     south from the column of the tile, so one shuffle serves the whole stencil.
+    Where a cell is absent, the corners behind it are NULL as well; kernels are
+    NULL there in any case.
     """
     def owners(v: Column, size: int) -> Column:
         lo, hi = F.greatest(v - 1, F.lit(0)), F.least(v + 1, F.lit(size - 1))
