@@ -10,6 +10,7 @@ from hazardspark.functions.tiers import alert_severity
 from hazardspark.operators.forecast import HORIZON_HOURS
 from hazardspark.operators.neighbours import nearest_label
 from hazardspark.operators.ordering import first_per_key, with_position
+from hazardspark.session import materialize
 
 KEY = ["location_id", "forecast_horizon", "alert_severity"]
 
@@ -79,7 +80,9 @@ def grid_alerts(forecast: DataFrame, grid_risk: DataFrame, inventory: DataFrame,
     """
     alerts = dedup_first(with_severity(forecast, "risk"), ["cell_id", "forecast_horizon", "alert_severity"], ["horizon_h"])
     rain = grid_risk.select("cell_id", "rainfall_24h")
-    alerts = nearest_label(alerts.join(rain, "cell_id", "left"), inventory, "district", ref_id)
+    # stored once: the neighbour search and the join back both read the alerts
+    alerts = materialize(alerts.join(rain, "cell_id", "left"), "alerts")
+    alerts = nearest_label(alerts, inventory, "district", ref_id)
     scale = F.create_map(*[F.lit(v) for kv in multipliers.items() for v in kv])
     place = F.format_string("Cell %s (%.3fN, %.3fE)", F.col("cell_id").cast("string"), F.col("latitude"), F.col("longitude"))
     return alerts.select(

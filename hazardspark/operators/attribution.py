@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardspark.functions.numeric import ratio
-from hazardspark.operators.ordering import top_per_key
+from hazardspark.operators.ordering import side_by_side, top_per_key
 
 # fixed values: display names of model features
 LABELS = {
@@ -111,8 +111,7 @@ def summary(ranking: DataFrame, sample: DataFrame, top: DataFrame, model: str, d
     mine = top.join(sample.select(key), key, "left_semi").agg(
         F.array_sort(F.collect_list(F.struct("rank", "feature", "phi", "effect"))).alias("top_attributions"))
     best = sample.select(F.struct(*sample.columns).alias("sample"))
-    one = F.lit(True)
-    return listed.join(mine, one).join(best, one).select(
+    return side_by_side(listed, mine, best).select(
         F.lit(model).alias("model_used"), "global_feature_ranking",
         F.struct("sample", "top_attributions").alias("representative_high_risk_sample"),
         F.lit(disclaimer).alias("scientific_disclaimer"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardspark.functions.tiers import tier_bucket
+from hazardspark.operators.ordering import side_by_side
 from hazardspark.operators.quality import to_number
 
 # fixed values: display buckets, mildest first
@@ -41,7 +42,7 @@ def kpis(grid: DataFrame, alerts: DataFrame, tier: str = "risk_tier", status: st
         F.count(F.lit(1)).alias("total_cells"), F.count_if(bucket == "HIGH").alias("high_cells"),
         F.count_if(bucket == "VERY HIGH").alias("very_high_cells"), top.alias("max_risk"))
     active = alerts.agg(F.count_if(F.upper(F.col(status)).contains("ACTIVE")).alias("active_alerts"))
-    return cells.join(active, F.lit(True))
+    return side_by_side(cells, active)
 
 
 def tier_distribution(grid: DataFrame, tier: str = "risk_tier") -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from hazardspark.operators.neighbours import (
     cross_duplicates, distance_stats, exclude_within, idw, nearest_distance, nearest_label, thin_by_spacing)
-from hazardspark.operators.ordering import with_position
+from hazardspark.operators.ordering import side_by_side, with_position
 from hazardspark.operators.spatial import local_metres
 
 
@@ -59,8 +59,7 @@ def ml_qa(data: DataFrame, buffer: float = 1000.0) -> DataFrame:
     cross = cross_duplicates(pos, neg, at).select(F.col("pairs").alias("cross_duplicates"))
     gaps = distance_stats(nearest_distance(local_metres(neg), local_metres(pos), "sample_id"), buffer).select(
         F.col("min_distance").alias("min_buffer_m"), F.col("below").alias("leakage_violations"))
-    one = F.lit(True)  # four one-row reports side by side
-    return counts.join(spots, one).join(cross, one).join(gaps, one)
+    return side_by_side(counts, spots, cross, gaps)
 
 
 def spatial_blocks(df: DataFrame, n: int = 5, lat: str = "latitude", lon: str = "longitude") -> DataFrame:

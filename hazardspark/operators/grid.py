@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazardspark.functions.numeric import percent, rounded
 from hazardspark.functions.tiers import micro_tier, susceptibility_tier
+from hazardspark.operators.neighbours import idw
 from hazardspark.operators.ordering import with_position
-from hazardspark.operators.spatial import in_box
-from hazardspark.params import Box, Refinement
+from hazardspark.operators.spatial import in_box, stack_layers
+from hazardspark.params import Box, GridMeta, Refinement
 
 RULE = Refinement()
 
@@ -89,6 +90,13 @@ def refine(scored: DataFrame, p: str = "p", digits: int | None = 4) -> DataFrame
     })
 
 
+def resample(children: DataFrame, cells: DataFrame, meta: GridMeta, layers: dict[str, float | None],
+             refs: DataFrame | None = None, interpolate: str | None = None, ref_id: str = "sl_no") -> DataFrame:
+    """Features of child cells: every raster layer, and one inventory value by distance."""
+    featured = stack_layers(children, cells, meta, layers)
+    return featured if refs is None else idw(featured, refs, interpolate, ref_id)
+
+
 def grid_summary(df: DataFrame, p: str, tier: str, tiers: tuple[str, ...], digits: int | None = 4) -> DataFrame:
     """Cell count, score statistics (population std) and tier counts in one row."""
     return df.agg(

@@ -10,11 +10,12 @@ split before its points are paired with anything, and the result is exact.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardspark.functions.numeric import planar_distance
-from hazardspark.operators.ordering import top_per_key
+from hazardspark.operators.ordering import top_per_key, with_position
 from hazardspark.session import materialize
 
 _FANOUT_BITS = 2  # a tile has 4 x 4 children
@@ -73,8 +74,12 @@ def nearest(queries: DataFrame, refs: DataFrame, ref_id: str, k: int = 1, x: str
     nodes = materialize(_pyramid(r, x0, y0, side, deepest), "tiles")
     starts = materialize(_start_levels(q, nodes, k, x0, y0, side, deepest), "starts")
 
+    # at most one value per level
+    used = {row[0] for row in starts.select("start").distinct().collect()}
     found, carried = [], None
     for level in range(deepest + 1):
+        if level not in used and carried is None:
+            continue
         edge = side / 4**level
         front = _first_tiles(starts.where(F.col("start") == level), x0, y0, edge, level, radius)
         if carried is not None:
@@ -84,7 +89,8 @@ def nearest(queries: DataFrame, refs: DataFrame, ref_id: str, k: int = 1, x: str
         kept = materialize(kept.withColumn("_done", enough), "front")
         points = r.withColumns({"tx": _tile(F.col("rx"), x0, edge), "ty": _tile(F.col("ry"), y0, edge)})
         found.append(kept.where("_done").select("qx", "qy", "tx", "ty").join(points, ["tx", "ty"]).drop("tx", "ty"))
-        if level < deepest:
+        carried = None
+        if level < deepest and not kept.where(~F.col("_done")).isEmpty():
             step = F.sequence(F.lit(0), F.lit(3))
             carried = (
                 kept.where(~F.col("_done"))
@@ -93,9 +99,9 @@ def nearest(queries: DataFrame, refs: DataFrame, ref_id: str, k: int = 1, x: str
                 .select("qx", "qy", "bound", "tx", "ty", F.explode(step).alias("_j"))
                 .select("qx", "qy", "bound", "tx", (F.col("ty") * 4 + F.col("_j")).alias("ty"))
             )
-    pairs = found[0]
-    for part in found[1:]:
-        pairs = pairs.unionByName(part)
+    if not found:  # no query points
+        found = [starts.select("qx", "qy").join(r, F.lit(False))]
+    pairs = reduce(DataFrame.unionByName, found)
     pairs = pairs.withColumn("distance", planar_distance(F.col("qx"), F.col("qy"), F.col("rx"), F.col("ry")))
     if radius is not None:
         pairs = pairs.where(F.col("distance") < F.lit(radius))
@@ -274,8 +280,9 @@ def thin_by_spacing(df: DataFrame, metres: float, rank: str, key: str, limit: in
         if ceiling is None or (limit is not None and kept.count() >= limit):
             break
         floor, share = ceiling, share * 8
-    out = df.join(kept.select(key), key, "left_semi")
-    return out if limit is None else out.orderBy(rank, key).limit(limit)
+    if limit is not None:
+        kept = with_position(kept, [rank, key], "_no").where(F.col("_no") < limit)
+    return df.join(kept.select(key), key, "left_semi")
 
 
 def _spread(df: DataFrame, cols: list[str]) -> DataFrame:

@@ -78,3 +78,11 @@ def first_per_key(df: DataFrame, keys: list[str], order: list) -> DataFrame:
 def top_per_key(df: DataFrame, keys: list[str], order: list, n: int, name: str) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn(name, rank).where(F.col(name) <= n)
+
+
+def side_by_side(first: DataFrame, *others: DataFrame) -> DataFrame:
+    """One-row reports as one row, by scalar subqueries rather than a join."""
+    for i, other in enumerate(others):
+        first = first.withColumn(f"_report{i}", other.select(F.struct(*other.columns)).scalar())
+    plain = [c for c in first.columns if not c.startswith("_report")]
+    return first.select(*plain, *[f"_report{i}.*" for i in range(len(others))])

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from hazardspark.functions.numeric import nan_to_null, rounded
+from hazardspark.operators.ordering import side_by_side
 
 # fixed values: header spellings of the inventory
 COLUMN_ALIASES = {
@@ -182,7 +183,8 @@ def enrichment_check(before: DataFrame, after: DataFrame, key: str) -> DataFrame
         F.sum("_b").alias("rows_before"), F.sum("_a").alias("rows_after"),
         F.count_if((F.col("_b") > 0) & (F.col("_a") == 0)).alias("keys_lost"))
     gaps = after.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in added])
-    return kept.select("*", (F.col("rows_before") == F.col("rows_after")).alias("rows_kept")).join(gaps, F.lit(True))
+    kept = kept.select("*", (F.col("rows_before") == F.col("rows_after")).alias("rows_kept"))
+    return side_by_side(kept, gaps)
 
 
 def to_physical_units(df: DataFrame, factors: dict[str, float]) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from hazardspark.operators import dataset, metrics, models, spatial
+from hazardspark.operators import dataset, grid, metrics, models, spatial
+from hazardspark.plans.grid import WIDE, coarse
 from hazardspark.plans.registry import query
 from hazardspark.plans.spatial import DM, STACK, candidates, stacked
 from hazardspark.plans.tables import cells_meta
@@ -297,3 +298,28 @@ SELECT model, round(avg(value), 8) AS mean FROM scores WHERE metric = 'accuracy'
 def k24(t):
     means = metrics.cv_summary(fold_scores(t).where(F.col("metric") == "accuracy"), None)
     return metrics.select_best(means, "mean", "model").select("model", F.round("mean", 8).alias("mean"))
+
+
+@query("k7_cross_validate")
+def k7_validate(t):
+    """Grouped cross-validation of the linear model, summarised per metric."""
+    scores = models.cross_validate(samples(t), "block", "vec_id", {"logistic": models.fit_logistic}, metres=None, **MODEL)
+    return metrics.cv_summary(scores)
+
+
+FEATURES = dict(numeric=("z", "bulk_density"), categorical=("land_cover",))
+
+
+@query("g8_refine_with_model")
+def g8_model(t):
+    """Children of flagged cells: features sampled again, scored by a fitted model."""
+    meta = cells_meta(t)
+    soil = t.fx_points.select("sl_no", "latitude", "longitude", "label").join(t.fx_soil.select("sl_no", "bulk_density"), "sl_no")
+    layers = {"z": -9999.0, "land_cover": None}
+    train = spatial.stack_layers(soil, t.fx_cells, meta, layers).na.drop()
+    model = models.fit_logistic(train.withColumn("land_cover", F.col("land_cover").cast("string")), **FEATURES)
+    parents = grid.focal_parents(coarse(t), WIDE)
+    kids = grid.resample(grid.subdivide(parents), t.fx_cells, meta, layers, soil, "bulk_density").na.drop()
+    kids = kids.withColumn("land_cover", F.col("land_cover").cast("string"))
+    return grid.refine(models.score(kids, model, "p")).select(
+        "fine_cell_id", "parent_susceptibility", "fine_susceptibility", "risk_delta", "micro_risk_tier")

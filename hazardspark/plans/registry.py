@@ -69,7 +69,4 @@ def query(name: str, views: str = "", sql: str | None = None, recursive: bool =
 
 def load_all() -> None:
     for module in MODULES:
-        import os
-        if not os.path.exists(os.path.join(os.path.dirname(__file__), module + ".py")):
-            continue
         importlib.import_module(f"hazardspark.plans.{module}")

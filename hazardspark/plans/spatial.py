@@ -137,16 +137,29 @@ def d9(t):
     return neighbours.exclude_within(q, ref, 1500.0, "sl_no").select("sl_no")
 
 
-@query("d10_thin_by_spacing")
+# the sequential rule itself: walk the points by rank and keep the spaced ones
+GREEDY = f"""
+, {METRES}, o AS (SELECT sl_no, x, y, row_number() OVER (ORDER BY (sl_no * 7919) % 100003, sl_no) AS rn FROM pts)
+, walk AS (SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept
+  UNION ALL SELECT o.rn, CASE WHEN len(list_filter(kept, lambda k: sqrt((k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y)) < {{metres}})) = 0
+    THEN list_append(kept, {{{{'id': o.sl_no, 'x': o.x, 'y': o.y}}}}) ELSE kept END FROM walk JOIN o ON o.rn = walk.rn + 1)
+, spaced AS (SELECT unnest(kept) AS k FROM (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1) z)
+"""
+
+
+def ranked(t):
+    return spatial.local_metres(t.fx_points).withColumn("rank", (F.col("sl_no") * 7919) % 100003)
+
+
+@query("d10_thin_by_spacing", "fx_points", GREEDY.format(metres="2000e0") + "SELECT k.id AS sl_no FROM spaced", recursive=True)
 def d10(t):
-    pts = spatial.local_metres(t.fx_points).withColumn("rank", F.xxhash64(F.lit(42), "sl_no"))
-    return neighbours.thin_by_spacing(pts, 2000.0, "rank", "sl_no").select("sl_no", "x", "y")
+    return neighbours.thin_by_spacing(ranked(t), 2000.0, "rank", "sl_no").select("sl_no")
 
 
-@query("d10_thin_first_n")
+@query("d10_thin_first_n", "fx_points", GREEDY.format(metres="800e0") + """
+SELECT k.id AS sl_no FROM spaced ORDER BY (k.id * 7919) % 100003, k.id LIMIT 20""", recursive=True)
 def d10_limit(t):
-    pts = spatial.local_metres(t.fx_points).withColumn("rank", F.xxhash64(F.lit(42), "sl_no"))
-    return neighbours.thin_by_spacing(pts, 800.0, "rank", "sl_no", limit=20).select("sl_no", "x", "y")
+    return neighbours.thin_by_spacing(ranked(t), 800.0, "rank", "sl_no", limit=20).select("sl_no")
 
 
 @query("d11_nearest_distance_stats", "fx_points", f"""
