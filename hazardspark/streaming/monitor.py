@@ -19,7 +19,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -117,6 +117,25 @@ def start(stream: DataFrame, monitor: Monitor, checkpoint: str, every: str = "60
         .trigger(processingTime=every).start())
 
 
+def supervise(stream: DataFrame, monitor: Monitor, checkpoint: str, every: str = "60 seconds",
+              restarts: int | None = None) -> int:
+    """Keep the monitor running: a failed cycle is run again from the checkpoint.
+
+    Returns the restarts used once the query is stopped; raises the last error
+    when ``restarts`` (None: no limit) are used up.
+    """
+    used = 0
+    while True:
+        query = start(stream, monitor, checkpoint, every)
+        try:
+            query.awaitTermination()
+            return used
+        except StreamingQueryException:
+            if restarts is not None and used >= restarts:
+                raise
+            used += 1
+
+
 def run_once(stream: DataFrame, monitor: Monitor, checkpoint: str) -> StreamingQuery:
     """Evaluate everything available now and stop; state carries over to the next run."""
     query = (

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.operators import alerts
 from hazardspark.session import new_path
-from hazardspark.streaming.monitor import Monitor, run_once, start
+from hazardspark.streaming.monitor import Monitor, run_once, start, supervise
 
 SCHEMA = "event_id long, ts timestamp, station_id long, forecast_horizon string, risk_score double"
 
@@ -83,6 +83,26 @@ def test_backlog_drains_without_new_data(spark):
     assert len(got) == 3 and len({n for n, _, _ in got}) == 3
 
 
+def test_failed_cycle_is_run_again(spark):
+    data = new_path(spark, "feed")
+    batch(spark, FIRST).coalesce(1).write.parquet(data)
+    calls = []
+
+    def flaky(planned, batch_id):
+        calls.append(batch_id)
+        if len(calls) == 1:
+            raise RuntimeError("delivery table not there yet")
+        if len(calls) > 3:
+            for q in spark.streams.active:
+                q.stop()
+        return planned.withColumn("status", F.lit("SENT"))
+
+    m = Monitor(new_path(spark, "monitor"), cap=2, outcomes=flaky)
+    stream = spark.readStream.schema(SCHEMA).parquet(data)
+    assert supervise(stream, m, new_path(spark, "checkpoint"), every="1 second", restarts=2) == 1
+    assert calls[:2] == [0, 0] and [k for _, k, _ in sent(spark, m)] == ["1", "2", "4"]
+
+
 def test_keys_use_station_and_severity(spark):
     keyed = alerts.with_key(batch(spark, FIRST)).select(*alerts.KEY).collect()
     assert ("2", "+6h", "VERY HIGH") in [tuple(r) for r in keyed]
