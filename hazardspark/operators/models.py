@@ -12,7 +12,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardspark.operators import dataset, metrics
-from hazardspark.session import shared_dir
+from hazardspark.session import materialize, shared_dir
 
 # fixed values: conditioning factors
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
@@ -112,7 +112,7 @@ def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fit=fi
         split = dataset.group_holdout(df, group, seed=seed)
         if metres is not None:
             split = dataset.buffered_train(split, key, metres)
-        split = split.persist()
+        split = materialize(split, "split")
         model = fit(split.where(~F.col("is_test")), **kw)
         auc = metrics.roc_auc(score(split.where("is_test"), model))
         parts.append(auc.select(F.lit(seed).alias("seed"), "roc_auc"))
@@ -122,13 +122,13 @@ def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fit=fi
 def cross_validate(df: DataFrame, group: str, key: str, fits: dict, k: int = 5, metres: float | None = 500.0,
                    **kw) -> DataFrame:
     """Metrics per model and fold of grouped cross-validation, in long form."""
-    folded = dataset.group_kfold(df, group, k).persist()
+    folded = materialize(dataset.group_kfold(df, group, k), "folds")
     parts = []
     for fold in range(k):
         split = folded.withColumn("is_test", F.col("fold") == fold)
         if metres is not None:
             split = dataset.buffered_train(split, key, metres)
-        split = split.persist()
+            split = materialize(split, "split")
         for name, fit in fits.items():
             scored = score(split.where("is_test"), fit(split.where(~F.col("is_test")), **kw))
             parts.append(metrics.report(scored).select(

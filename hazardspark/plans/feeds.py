@@ -71,11 +71,19 @@ def m5(t):
     return feeds.q_alerts(alert_plans.hotspots(t), "VERY HIGH").select("station_id", "forecast_horizon", "alert_severity")
 
 
-@query("m6_q_attribution")
+@query("m6_q_attribution", "", attribution.X + """
+SELECT 'LogisticRegression' AS model, (SELECT count(*) FROM rk) AS features, (SELECT feature FROM rk WHERE rank = 1) AS first_feature,
+  s.id AS sample_id, (SELECT feature FROM phi WHERE phi.id = s.id ORDER BY abs(phi) DESC, feature LIMIT 1) AS top_attribution,
+  'Attribution is not causal proof.' AS scientific_disclaimer
+FROM (SELECT id FROM probs WHERE label = 1 ORDER BY (slide_name IS NOT NULL AND prob > 0.9) DESC, prob DESC, id LIMIT 1) s""")
 def m6(t):
     path = new_path(t.spark, "attribution")
     attribution.summary(t).write.json(path)
-    return feeds.q_attribution(t.spark, path)
+    stored = feeds.q_attribution(t.spark, path)
+    sample = F.col("representative_sample")
+    return stored.select(
+        "model", F.size("global_features").cast("bigint").alias("features"), F.col("global_features")[0]["feature"].alias("first_feature"),
+        sample["sample"]["id"].alias("sample_id"), sample["top_attributions"][0]["feature"].alias("top_attribution"), "scientific_disclaimer")
 
 
 @query("m7_every_nth", "fx_scored", COARSE + f"SELECT cell_id, risk_score FROM {NTH} x WHERE pos % 7 = 0")

@@ -138,11 +138,18 @@ def _scored(t, fit, **kw):
     return models.score(test, fit(train, **MODEL, **kw)).select("vec_id", "label", F.round("prob", 6).alias("prob"))
 
 
-@query("k8_prep_pipeline")
+E = [f"e{i}" for i in range(8)]
+SAMPLE = "sample AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS code, " + ", ".join(
+    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings)"
+
+
+@query("k8_prep_pipeline", "", f"WITH {SAMPLE} SELECT vec_id, " + ", ".join(
+    f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 8) AS f{i}" for i, c in enumerate(E)) + ", " + ", ".join(
+    f"CASE WHEN code = {i} THEN 1e0 ELSE 0e0 END AS f{8 + i}" for i in range(4)) + " FROM sample")
 def k8(t):
     data = samples(t)
-    fitted = models.prep_pipeline(**MODEL).fit(data)
-    return fitted.transform(data).select("vec_id", vector_to_array("features").alias("features"))
+    ready = models.prep_pipeline(**MODEL).fit(data).transform(data).withColumn("_f", vector_to_array("features"))
+    return ready.select("vec_id", *[F.round(F.col("_f")[i], 8).alias(f"f{i}") for i in range(12)])
 
 
 @query("k9_fit_logistic")

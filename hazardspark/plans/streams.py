@@ -46,7 +46,13 @@ def o1(t):
     return run(t, cap=None).attempts(t.spark).where(F.col("status") == "SENT").select(*alerts.KEY)
 
 
-@query("o2_dispatch_state")
+PART = "CAST((day(w[1]) - 1) // 5 AS INTEGER)"
+
+
+@query("o2_dispatch_state", "fx_alert_candidates", KEYS + f"""
+SELECT {PART} AS n, location_id, forecast_horizon, alert_severity, w[2] AS event_id, 0 AS tries,
+  CASE WHEN w[2] % 3 = 0 THEN 'FAILED' ELSE 'SENT' END AS status FROM firsts
+UNION ALL SELECT {PART} + 1, location_id, forecast_horizon, alert_severity, w[2], 1, 'SENT' FROM firsts WHERE w[2] % 3 = 0""")
 def o2(t):
     """A failed key is retried in a later batch and remembered only once sent."""
     monitor = run(t, cap=None, outcomes=flaky)
@@ -54,8 +60,7 @@ def o2(t):
 
 
 @query("o3_cap_per_cycle", "fx_alert_candidates", KEYS + """
-, arrived AS (SELECT *, CAST((day(w[1]) - 1) // 5 AS INTEGER) AS part FROM firsts)
-SELECT location_id, forecast_horizon, alert_severity FROM arrived ORDER BY w LIMIT 14""")
+SELECT location_id, forecast_horizon, alert_severity FROM firsts ORDER BY w LIMIT 14""")
 def o3(t):
     """Two dispatches per cycle; the rest waits in the backlog."""
     return run(t, cap=2, compact_every=3).attempts(t.spark).where(F.col("status") == "SENT").select(*alerts.KEY)

@@ -31,13 +31,12 @@ def daily_grid(df: DataFrame, offset: str = "t", value: str = "precip") -> DataF
 
 
 def write_daily(df: DataFrame, path: str) -> None:
-    """Store by year and month; rows of a month are gathered so files stay few.
+    """Store by year and month.
 
-    The write spreads each month over several tasks (by cell), because one
-    month of a global grid is too much for one.
+    The rebalance hint gathers each month into few files and lets adaptive
+    execution split a month that is too large for one task.
     """
-    parts = df.repartition("year", "month", F.pmod(F.xxhash64("cell_id"), F.lit(16)))
-    parts.write.partitionBy("year", "month").parquet(path)
+    df.hint("rebalance", "year", "month").write.partitionBy("year", "month").parquet(path)
 
 
 def window_read(df: DataFrame, box: Box, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
