@@ -23,7 +23,11 @@ def _parts(df: DataFrame) -> int:
 
 
 def with_position(df: DataFrame, order: list, name: str = "position", start: int = 0) -> DataFrame:
-    """Add consecutive numbers in the given total order."""
+    """Add consecutive numbers in the given order.
+
+    The order columns should be unique together: ties cannot be split between
+    ranges and their numbers would be arbitrary.
+    """
     cols = [F.col(c) if isinstance(c, str) else c for c in order]
     ranged = (
         df.repartitionByRange(_parts(df), *cols)
