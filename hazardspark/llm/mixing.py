@@ -227,7 +227,8 @@ class MixPlan:
 
     def taken(self) -> DataFrame:
         """Every document with source_size, target and the words the mix takes of it."""
-        times = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times"))
+        # Sorted, not broadcast: their size is that of all blocks.
+        times = self.slots.groupBy("source_id", "block").agg(F.count(F.lit(1)).alias("times")).hint("merge")
         key = ["source_id", "doc_id", "start", "size"]
         sums = (
             self.pieces().join(times, ["source_id", "block"])
@@ -237,14 +238,16 @@ class MixPlan:
         same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in key]
         table = self.source_table(self.spark).select("source_id", "source_size", "target")
         return (
-            self.streams.join(sums, same, "left").join(table, "source_id")
+            self.streams.join(sums.hint("merge"), same, "left").join(table, "source_id")
             .select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).alias("taken"))
         )
 
     def passes(self) -> DataFrame:
         """Per document and pass its drawn word ranges: doc_id, text_hash, copy (numbers
         equal documents), size, pass, parts (first, last; in order)."""
-        parts = self.pieces().join(self.slots.select("source_id", "pass", "block"), ["source_id", "block"])
+        # The optimizer would size the slots by the small table they are drawn from, and broadcast them.
+        drawn = self.slots.select("source_id", "pass", "block").hint("merge")
+        parts = self.pieces().join(drawn, ["source_id", "block"])
         rows = parts.groupBy("doc_id", "text_hash", "source_id", "start", "size", "pass").agg(
             F.array_sort(F.collect_list(F.struct("first", "last"))).alias("parts")
         )
@@ -285,7 +288,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
         order = Window.partitionBy("doc_id", "_text_hash").orderBy("source", "lang", "n_chars")
         rows = rows.withColumn("_number", F.row_number().over(order))
         same = same & (F.col("_number") == F.col("_copy"))
-    taken = rows.join(plan, same).select(*docs.columns, "size", F.explode("passes.parts").alias("parts"))
+    taken = rows.join(plan.hint("merge"), same).select(*docs.columns, "size", F.explode("passes.parts").alias("parts"))
     schema = docs.schema
     names = docs.columns
 
