@@ -34,8 +34,8 @@ class Condition:
     at_most: bool
     threshold: float
 
-    def column(self) -> Column:
-        value = F.col(self.feature)
+    def column(self, stats: Column) -> Column:
+        value = stats[self.feature]
         return value <= F.lit(self.threshold) if self.at_most else value > F.lit(self.threshold)
 
     def holds(self, row: dict) -> bool:
@@ -85,9 +85,9 @@ def _repeat_words(ws: Column) -> Column:
     return F.when(n > WINDOW, _covered_words(hashes)).otherwise(F.lit(0))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add one struct column ``_stats`` with the base counts and the features."""
-    body = F.coalesce(F.col(text), F.lit(""))
+def statistics(text: Column) -> Column:
+    """The base counts and the features of a text, as one struct."""
+    body = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(body, "\n"), lambda x: x.rlike(f"[^{SPACE}]"))
 
     def counts(ws: Column) -> Column:
@@ -122,7 +122,11 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
             (c["digits"] / chars).alias("digit_rate"),
         )
 
-    return docs.withColumn("_stats", let(let(words(body), counts), rates))
+    return let(let(words(body), counts), rates)
+
+
+def with_statistics(docs: DataFrame) -> DataFrame:
+    return docs.withColumn("_stats", statistics(F.col("text")))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -238,26 +242,36 @@ def _mixed(row: dict) -> tuple:
     return (hash(tuple(row[f] for f in FEATURES)), tuple(row[f] for f in FEATURES), row["_quality"])
 
 
-def verdict(rules: list[Rule], stats: str = "_stats") -> Column:
+def verdict(rules: list[Rule], stats: Column) -> Column:
     """0 if no rule holds, else the position of the first that does."""
     out = F.lit(0)
     for position, rule in reversed(list(enumerate(rules, 1))):
         holds = F.lit(True)
         for c in rule:
-            value = F.col(f"{stats}.{c.feature}")
-            holds = holds & (value <= F.lit(c.threshold) if c.at_most else value > F.lit(c.threshold))
+            holds = holds & c.column(stats)
         out = F.when(holds, F.lit(position)).otherwise(out)
     return out
 
 
 def judge(docs: DataFrame, rules: list[Rule]) -> DataFrame:
     """Add ``_stats``, ``base_failed``, ``rule`` (0: none) and ``kept``."""
-    out = with_statistics(docs)
-    out = out.withColumn("base_failed", base_failed(F.col("_stats.n_words"), F.col("_stats.n_repeat_words")))
-    out = out.withColumn("rule", verdict(rules))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0))
+    names = dict.fromkeys((*BASE, *FEATURES))
+
+    def judged(s: Column) -> Column:
+        failed = base_failed(s["n_words"], s["n_repeat_words"]).alias("base_failed")
+        return F.struct(*[s[n].alias(n) for n in names], failed, verdict(rules, s).alias("rule"))
+
+    out = docs.withColumn("_stats", let(statistics(F.col("text")), judged))
+    failed, rule = F.col("_stats.base_failed"), F.col("_stats.rule")
+    return out.withColumns({"base_failed": failed, "rule": rule, "kept": ~failed & (rule == 0)})
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Only the documents that pass, with their own columns."""
-    return judge(docs, fit(docs, labels)).where("kept").select(*docs.columns)
+    rules = fit(docs, labels)
+
+    def passes(s: Column) -> Column:
+        return ~base_failed(s["n_words"], s["n_repeat_words"]) & (verdict(rules, s) == 0)
+
+    # One expression, so that the filter computes the statistics once.
+    return docs.where(let(statistics(F.col("text")), passes))
