@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 # White space between words, as a class body for Java patterns: space, tab to carriage return.
@@ -29,6 +32,13 @@ def id_remainder(column: str | Column, divisor: int) -> Column:
     return F.crc32(column.cast("string").cast("binary")) % F.lit(divisor)
 
 
+def slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.RecordBatch]:
+    """The batches in short pieces, so that a worker holds few texts as Python objects."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, most):
+            yield batch.slice(start, most)
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

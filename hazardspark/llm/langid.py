@@ -25,7 +25,7 @@ from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame, Window, functions as F
 
-from hazardspark.llm.common import id_remainder
+from hazardspark.llm.common import id_remainder, slices
 from hazardspark.session import materialize
 
 DIM = 2048
@@ -113,7 +113,7 @@ class LanguageModel:
 
 
 def _features_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         texts, langs = batch.column("text").to_pylist(), batch.column("lang")
         rows = [features(t).astype(np.float32) for t in texts]
         flat = np.concatenate(rows) if rows else np.zeros(0, np.float32)
@@ -163,7 +163,7 @@ def predict(docs: DataFrame, model: LanguageModel, lang_col: str = "lang_pred",
     """Add the predicted language and its score; other columns stay as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             got = [model.predict(t) for t in batch.column("text").to_pylist()]
             kept = [c for c in batch.schema.names if c not in (lang_col, score_col)]
             yield pa.RecordBatch.from_arrays(

@@ -26,6 +26,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from hazardspark.llm.common import slices
+
 BINS, BITS, WIDTH = 256, 4, 5
 NONE = "none"
 PIECE = 1 << 22  # bytes hashed at once
@@ -149,7 +151,7 @@ def fingerprints(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         maker = Fingerprinter(bins, bits)
-        for batch in batches:
+        for batch in slices(batches):
             prints = [maker.fingerprint(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(prints, pa.string())], ["doc_id", "fingerprint"])
 
@@ -216,7 +218,7 @@ def compare_with_next(docs: DataFrame, bins: int = BINS, bits: int = BITS) -> Da
         maker = Fingerprinter(bins, bits)
         held = None  # the row that waits for its next: run, doc_id, text, minima
 
-        for batch in batches:
+        for batch in slices(batches):
             out = []
             columns = [batch.column(c).to_pylist() for c in ("run", "guest", "doc_id", "text")]
             for part, guest, doc_id, text in zip(*columns):

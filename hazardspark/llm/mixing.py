@@ -30,7 +30,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from hazardspark.llm.common import SPACE, bucket_starts
+from hazardspark.llm.common import SPACE, bucket_starts, slices
 from hazardspark.session import materialize
 
 WEIGHTS = (5, 2, 1)
@@ -293,7 +293,7 @@ def mixed_documents(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             found = zip(
                 batch.column("text").to_pylist(), batch.column("parts").to_pylist(), batch.column("size").to_pylist()
             )

@@ -29,9 +29,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import ArrayType, BooleanType, IntegerType, LongType, StructType
 
+from hazardspark.llm.common import slices
+
 MARK = "▁"  # stands for a space
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-CACHE = 600_000  # words a worker remembers
+CACHE = 120_000  # words a worker remembers
 CACHED_LENGTH = 64  # longer words are not remembered
 _NORMAL, _UNKNOWN, _USER, _BYTE = 1, 2, 4, 6
 _UNKNOWN_PENALTY = 10.0
@@ -357,11 +359,6 @@ def _lists(rows: list[np.ndarray | None]) -> pa.Array:
     )
 
 
-def _slices(batch: pa.RecordBatch, most: int = 512) -> Iterator[pa.RecordBatch]:
-    for start in range(0, batch.num_rows, most):
-        yield batch.slice(start, most)
-
-
 def encode(docs: DataFrame, model: str = MODEL, verify: bool = False) -> DataFrame:
     """Replace ``text`` by ``ids`` and ``n_ids``; with ``verify`` also ``round_trip``:
     whether decoding the ids gives the text back."""
@@ -374,16 +371,15 @@ def encode(docs: DataFrame, model: str = MODEL, verify: bool = False) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped)
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = batch.column("text").to_pylist()
-                ids = encoder.encode_all(texts)
-                columns = [batch.column(f.name) for f in kept]
-                columns += [pa.array([None if i is None else len(i) for i in ids], pa.int64()), _lists(ids)]
-                if verify:
-                    same = [None if t is None else encoder.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids)]
-                    columns.append(pa.array(same, pa.bool_()))
-                yield pa.RecordBatch.from_arrays(columns, schema.names)
+        for batch in slices(batches):
+            texts = batch.column("text").to_pylist()
+            ids = encoder.encode_all(texts)
+            columns = [batch.column(f.name) for f in kept]
+            columns += [pa.array([None if i is None else len(i) for i in ids], pa.int64()), _lists(ids)]
+            if verify:
+                same = [None if t is None else encoder.decode(i) == t.replace(MARK, " ") for t, i in zip(texts, ids)]
+                columns.append(pa.array(same, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(columns, schema.names)
 
     return docs.mapInArrow(run, schema)
 
@@ -396,11 +392,10 @@ def decode(rows: DataFrame, model: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(shipped)
-        for whole in batches:
-            for batch in _slices(whole):
-                texts = [None if i is None else encoder.decode(np.array(i, np.int32)) for i in batch.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], schema.names
-                )
+        for batch in slices(batches):
+            texts = [None if i is None else encoder.decode(np.array(i, np.int32)) for i in batch.column("ids").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(f.name) for f in kept] + [pa.array(texts, pa.string())], schema.names
+            )
 
     return rows.mapInArrow(run, schema)

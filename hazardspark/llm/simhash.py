@@ -29,7 +29,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from hazardspark.llm.common import connected
+from hazardspark.llm.common import connected, slices
 from hazardspark.session import materialize
 
 BITS = 64
@@ -54,7 +54,7 @@ def fingerprint(text: str | None, width: int = 3, seed: int = 42) -> int:
 
 def _fingerprints(width: int, seed: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = np.array([fingerprint(t, width, seed) for t in batch.column("text").to_pylist()], np.uint64)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("text_hash"), pa.array(values.view(np.int64))],

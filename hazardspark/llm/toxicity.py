@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from hazardspark.llm.common import id_remainder
+from hazardspark.llm.common import id_remainder, slices
 from hazardspark.session import materialize
 
 WORD = r"[^\W\d_]+"
@@ -199,7 +199,7 @@ def fit(
 
 
 def _split_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         found = [sorted(words_of(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id").cast(pa.int64()), batch.column("toxic").cast(pa.int32()), pa.array(found, pa.list_(pa.string()))],
@@ -213,7 +213,7 @@ def score(docs: DataFrame, model: ToxicityModel, score_col: str = "score") -> Da
     schema = StructType(list(kept)).add(score_col, DoubleType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             values = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in kept] + [pa.array(values, pa.float64())], schema.names)
 
