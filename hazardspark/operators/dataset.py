@@ -20,14 +20,15 @@ def positives(inventory: DataFrame, rain: DataFrame, soil: DataFrame, layers: Da
         dated.alias("is_dated"), *[c for c in joined.columns if c not in ("label",)])
 
 
-def negatives(candidates: DataFrame, inventory: DataFrame, count: int, buffer: float = 1000.0, spacing: float = 800.0,
+def negatives(candidates: DataFrame, inventory: DataFrame, count: int | None = None, buffer: float = 1000.0, spacing: float = 800.0,
               ref_id: str = "sl_no", interpolate: str | None = None, district: str = "district") -> DataFrame:
     """Background samples: far from every positive, spaced among themselves, in rank order.
 
     ``candidates`` carries ``r, c, latitude, longitude, rank`` and its sampled
-    layers; the district comes from the nearest inventory point and the
+    layers; without ``count`` there are as many as inventory rows. The district comes from the nearest inventory point and the
     ``interpolate`` column from its five nearest.
     """
+    count = inventory.count() if count is None else count
     cell = candidates.withColumn("_cell", F.struct("r", "c"))
     far = exclude_within(local_metres(cell), local_metres(inventory), buffer, ref_id)
     spaced = thin_by_spacing(far, spacing, "rank", "_cell", limit=count)

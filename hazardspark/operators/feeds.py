@@ -71,8 +71,8 @@ def q_forecast(df: DataFrame, order: list[str], horizon: str | None = None, samp
                limit: int | None = None) -> DataFrame:
     """Grid forecast for one horizon from a long or wide table.
 
-    An unknown horizon is an error for a wide table and, as it needs the data,
-    no rows for a long one.
+    The horizon may be spelled in any known way; one that the table lacks is an
+    error. For a long table that takes a look at the data.
     """
     if sample_step is not None and sample_step > 1:
         df = every_nth(df, sample_step, order)
@@ -81,7 +81,11 @@ def q_forecast(df: DataFrame, order: list[str], horizon: str | None = None, samp
     if horizon is None:
         return df
     if "forecast_horizon" in df.columns:
-        return df.where(F.col("forecast_horizon") == horizon)
+        for name in horizon_candidates(horizon):
+            rows = df.where(F.col("forecast_horizon") == name)
+            if not rows.isEmpty():
+                return rows
+        raise ValueError(f"horizon {horizon!r} not available")
     have = available_horizons(df)
     for name in horizon_candidates(horizon):
         if name in have:

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardspark.functions.numeric import planar_distance
 from hazardspark.operators.ordering import top_per_key, with_position
-from hazardspark.session import materialize
+from hazardspark.session import discard, materialize
 
 _FANOUT_BITS = 2  # a tile has 4 x 4 children
 _MAX_LEVEL = 12
@@ -257,32 +257,22 @@ def thin_by_spacing(df: DataFrame, metres: float, rank: str, key: str, limit: in
     Works in rounds over tiles whose diagonal is the spacing, so each tile can
     keep one row. A tile's best row is final once no tile in reach has a better
     one left; everything near it is then dropped. No pairs of candidates are
-    formed. With ``limit`` the candidates are taken in rank slices until the
-    first ``limit`` rows are settled, which is the result of the full run.
+    formed. ``limit`` keeps the first rows of the full result.
+
+    A row without a coordinate (NULL or NaN) has no place and is never kept. Rows
+    without a rank come after all ranked ones; equal ranks are ordered by the key.
     """
     edge = metres / math.sqrt(2.0) * (1.0 - 1e-9)
-    pool = materialize(
-        df.select(key, rank, x, y).withColumns({"_tx": F.floor(F.col(x) / edge), "_ty": F.floor(F.col(y) / edge)}),
-        "candidates")
-    total = pool.count()
-    share = 1.0 if limit is None else min(1.0, 30.0 * limit / max(total, 1))
-    kept, floor = None, None
-    while True:
-        if share >= 1.0:
-            part, ceiling = pool, None
-        else:
-            ceiling = pool.agg(F.percentile_approx(rank, share, 100000)).first()[0]
-            part = pool.where(F.col(rank) <= F.lit(ceiling))
-        if floor is not None:
-            part = part.where(F.col(rank) > F.lit(floor))
-            part = _drop_near(part, kept, metres, x, y)
-        kept = _settle(part, kept, metres, rank, key, x, y)
-        if ceiling is None or (limit is not None and kept.count() >= limit):
-            break
-        floor, share = ceiling, share * 8
+    placed = [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in (x, y)]
+    pool = (
+        df.where(placed[0] & placed[1])
+        .select(F.col(rank).isNull().alias("_unranked"), F.col(rank).alias("_rank"), F.col(key).alias("_key"),
+                F.col(x).alias("_x"), F.col(y).alias("_y"))
+        .withColumns({"_tx": F.floor(F.col("_x") / edge), "_ty": F.floor(F.col("_y") / edge)}))
+    kept = _settle(pool, metres)
     if limit is not None:
-        kept = with_position(kept, [rank, key], "_no").where(F.col("_no") < limit)
-    return df.join(kept.select(key), key, "left_semi")
+        kept = with_position(kept, ["_unranked", "_rank", "_key"], "_no").where(F.col("_no") < limit)
+    return df.join(kept.select(F.col("_key").alias(key)), key, "left_semi")
 
 
 def _spread(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -295,24 +285,27 @@ def _spread(df: DataFrame, cols: list[str]) -> DataFrame:
     )
 
 
-def _drop_near(part: DataFrame, kept: DataFrame, metres: float, x: str, y: str) -> DataFrame:
+def _drop_near(part: DataFrame, kept: DataFrame, metres: float) -> DataFrame:
     """Rows not within reach of a kept row; kept rows are few per tile by their spacing."""
-    near = _spread(kept.select(F.col(x).alias("_kx"), F.col(y).alias("_ky"), "_tx", "_ty"), ["_kx", "_ky"])
-    close = planar_distance(F.col(x), F.col(y), F.col("_kx"), F.col("_ky")) < F.lit(metres)
+    near = _spread(kept.select(F.col("_x").alias("_kx"), F.col("_y").alias("_ky"), "_tx", "_ty"), ["_kx", "_ky"])
+    close = planar_distance(F.col("_x"), F.col("_y"), F.col("_kx"), F.col("_ky")) < F.lit(metres)
     same = (part["_tx"] == near["_tx"]) & (part["_ty"] == near["_ty"])
     return part.join(near, same & close, "left_anti")
 
 
-def _settle(part: DataFrame, kept: DataFrame | None, metres: float, rank: str, key: str, x: str, y: str) -> DataFrame:
-    tile = ["_tx", "_ty"]
-    part = materialize(part, "open")
+def _settle(pool: DataFrame, metres: float) -> DataFrame:
+    tile, row = ["_tx", "_ty"], ["_unranked", "_rank", "_key", "_x", "_y"]
+    part = materialize(pool, "open")
+    kept = None
     while not part.isEmpty():
-        best = part.groupBy(*tile).agg(F.min(F.struct(rank, key, x, y)).alias("_best"))
+        best = part.groupBy(*tile).agg(F.min(F.struct(*row)).alias("_best"))
         around = _spread(best, ["_best"]).groupBy(*tile).agg(F.min("_best").alias("_around"))
         final = best.join(around, tile).where(F.col("_best") == F.col("_around")).select("_best.*", *tile)
         final = materialize(final, "kept")
+        if final.isEmpty():
+            raise RuntimeError("a round of thinning settled no row")
         kept = final if kept is None else kept.unionByName(final)
-        part = materialize(_drop_near(part, final, metres, x, y), "open")
-    if kept is None:
-        kept = part.select(rank, key, x, y, *tile)
-    return kept
+        rest = materialize(_drop_near(part, final, metres), "open")
+        discard(part)
+        part = rest
+    return part.select(*row, *tile) if kept is None else kept

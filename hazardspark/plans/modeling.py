@@ -50,7 +50,7 @@ def k1(t):
 def k2(t):
     cells = candidates(t).join(raster_cells(t.fx_cells, cells_meta(t), ["z"]).select("r", "c", "land_cover"), ["r", "c"])
     inventory = t.fx_points.where(F.col("label") == 1).join(t.fx_soil.select("sl_no", "bulk_density"), "sl_no")
-    return dataset.negatives(cells.drop("land_cover"), inventory, 200, interpolate="bulk_density")
+    return dataset.negatives(cells.drop("land_cover"), inventory, interpolate="bulk_density")
 
 
 @query("k3_ml_dataset", VIEWS, POS + "SELECT * FROM ml")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -19,7 +18,6 @@ RUNTIME_CONF = {
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
 }
 
-_local_dirs: dict[str, str] = {}
 _written: dict[str, list[str]] = {}
 
 
@@ -41,17 +39,11 @@ def session(app: str = "hazardspark", **conf: str) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder of its own.
+    Where that is unset, a folder of the session's warehouse, which executors
+    share as well.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    if not spark.sparkContext.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    app = spark.sparkContext.applicationId
-    if app not in _local_dirs:
-        _local_dirs[app] = tempfile.mkdtemp(prefix="hazardspark-")
-    return _local_dirs[app]
+    return named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_intermediate"
 
 
 def new_path(spark: SparkSession, label: str) -> str:
@@ -70,12 +62,24 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, label)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table of :func:`materialize` that nothing will read again."""
+    spark, path = stored.sparkSession, stored._stored_at
+    _written.get(spark.sparkContext.applicationId, []).remove(path)
+    _delete(spark, path)
 
 
 def release(spark: SparkSession) -> None:
     """Delete the intermediate tables this session wrote."""
-    hadoop_conf = spark._jsc.hadoopConfiguration()
     for path in _written.pop(spark.sparkContext.applicationId, []):
-        target = spark._jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(hadoop_conf).delete(target, True)
+        _delete(spark, path)

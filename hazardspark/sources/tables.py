@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.errors import AnalysisException
+from py4j.protocol import Py4JJavaError
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from hazardspark.functions.numeric import nan_to_null
@@ -18,7 +19,7 @@ class EmptyTable(ValueError):
     """The path exists and holds no rows."""
 
 
-def _missing(error: AnalysisException) -> bool:
+def _missing(error: Exception) -> bool:
     return "PATH_NOT_FOUND" in str(error)
 
 
@@ -27,10 +28,15 @@ def nan_columns_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: nan_to_null(F.col(f"`{c}`")) for c in floats}) if floats else df
 
 
-def read_table(spark: SparkSession, path: str, schema: T.StructType | str, allow_empty: bool = False) -> DataFrame:
-    """Headered CSV with an explicit schema; NaN becomes NULL."""
+def read_table(spark: SparkSession, path: str, schema: T.StructType | str, allow_empty: bool = False,
+               multi_line: bool = False, malformed: str = "FAILFAST") -> DataFrame:
+    """Headered CSV with an explicit schema; NaN becomes NULL.
+
+    A row that does not fit the schema is an error, never a row of NULLs. Text with
+    line breaks needs ``multi_line``, which reads each file in one task.
+    """
     try:
-        df = spark.read.schema(schema).csv(path, header=True, nanValue="NaN", multiLine=False, escape='"')
+        df = spark.read.schema(schema).csv(path, header=True, nanValue="NaN", multiLine=multi_line, escape='"', mode=malformed)
     except AnalysisException as error:
         if _missing(error):
             raise MissingTable(path) from error
@@ -115,7 +121,9 @@ def merge_fragments(rows: DataFrame, markers: tuple[str, ...] = ("sl.no", "slide
     # Column names are the output schema, so their distinct list is small by nature.
     names = [r[0] for r in heads.select(F.explode("_names").alias("n")).distinct().sort("n").collect()]
     body = rows.join(heads, "fragment").where(~F.col("_named") | (F.col("row_no") > 0))
-    filled = body.withColumn("_map", F.map_from_arrays("_names", "cells"))
+    # Short rows are padded with NULL, cells beyond the header have no column.
+    cells = F.filter(F.arrays_zip("_names", "cells"), lambda c: c["_names"].isNotNull())
+    filled = body.withColumn("_map", F.map_from_entries(cells))
     return filled.select("fragment", "row_no", *[F.try_element_at("_map", F.lit(n)).alias(n) for n in names])
 
 
@@ -136,22 +144,18 @@ def file_inventory(spark: SparkSession, path: str) -> DataFrame:
 
 def dataset_health(spark: SparkSession, paths: dict[str, str], fmt: str = "parquet") -> DataFrame:
     """Present flag, row count and error per dataset."""
-    parts = []
+    found = []
     for name, path in paths.items():
         try:
             reader = spark.read.format(fmt)
             if fmt == "csv":
                 reader = reader.option("header", "true")
-            rows = reader.load(path).agg(F.count(F.lit(1)).alias("rows"))
-            parts.append(rows.select(F.lit(name).alias("dataset"), F.lit(True).alias("present"), "rows",
-                                     F.lit(None).cast("string").alias("error")))
-        except AnalysisException as error:
+            # Counted here: a file that cannot be read is this dataset's error, not the report's.
+            found.append((name, True, reader.load(path).count(), None))
+        except (PySparkException, Py4JJavaError) as error:
             missing = _missing(error)
-            parts.append(spark.range(1).select(
-                F.lit(name).alias("dataset"), F.lit(not missing).alias("present"),
-                F.lit(0).cast("bigint").alias("rows"),
-                F.lit("missing" if missing else "unreadable").alias("error")))
-    return reduce(DataFrame.unionByName, parts)
+            found.append((name, not missing, 0, "missing" if missing else "unreadable"))
+    return spark.createDataFrame(found, "dataset string, present boolean, rows bigint, error string")
 
 
 def health_status(health: DataFrame) -> DataFrame:

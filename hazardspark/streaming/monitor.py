@@ -10,16 +10,19 @@ snapshot every ``compact_every`` batches, all under one folder:
 
 Batch n reads state up to n - 1 only and overwrites its own folders, so Spark
 may replay it at any time. A key is settled by a SENT outcome alone; FAILED and
-DISABLED keys stay in the backlog and are planned again. Delivery beyond the
-attempts table is at least once.
+DISABLED keys stay in the backlog and are planned again. A key without an outcome
+yet is pending: it is not planned again until ``late`` reports what became of it.
+Every batch writes its delta, so a missing one is an error, not an empty state.
+Delivery beyond the attempts table is at least once.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.errors import AnalysisException, StreamingQueryException
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -27,9 +30,9 @@ from hazardspark.operators import alerts
 from hazardspark.operators.ordering import first_per_key
 
 Outcomes = Callable[[DataFrame, int], DataFrame]
-STATE = [*alerts.KEY, "ts", "event_id", "risk_score", "sent", "tries", "n"]
+STATE = [*alerts.KEY, "ts", "event_id", "risk_score", "sent", "pending", "tries", "n"]
 STATE_DDL = ("location_id string, forecast_horizon string, alert_severity string, ts timestamp, event_id bigint, "
-             "risk_score double, sent boolean, tries int, n bigint")
+             "risk_score double, sent boolean, pending boolean, tries int, n bigint")
 
 
 def all_sent(planned: DataFrame, batch_id: int) -> DataFrame:
@@ -41,20 +44,22 @@ def all_sent(planned: DataFrame, batch_id: int) -> DataFrame:
 class Monitor:
     """Dispatch state below ``root`` and the rules of one cycle.
 
-    ``outcomes`` gets the planned rows and adds ``status``; on a cluster it
-    joins the results written by whatever drains the outbox.
+    ``outcomes`` gets the planned rows and adds ``status`` (NULL: not known yet);
+    on a cluster it joins the results written by whatever drains the outbox.
+    ``late`` returns the known outcomes (key columns, ``status``) of pending keys.
+    ``cap_on`` says what the cap counts: ``attempts``, or only those that were
+    ``sent``, in which case failures do not use it up.
     """
 
     root: str
     cap: int | None = 2
     outcomes: Outcomes = all_sent
     compact_every: int = 20
+    late: Callable[[SparkSession], DataFrame] | None = None
+    cap_on: str = "attempts"
 
     def _read(self, spark: SparkSession, path: str) -> DataFrame:
-        try:
-            return spark.read.schema(STATE_DDL).parquet(path)
-        except AnalysisException:
-            return spark.createDataFrame([], STATE_DDL)
+        return spark.read.schema(STATE_DDL).parquet(path)
 
     def state(self, spark: SparkSession, upto: int) -> DataFrame:
         """Latest row of every key after batch ``upto``."""
@@ -79,26 +84,52 @@ class Monitor:
         feed = alerts.with_key(alerts.eligible(alerts.resolve_risk(batch)))
         fresh = first_per_key(feed, alerts.KEY, ["ts", "event_id"]).join(before.select(*alerts.KEY), alerts.KEY, "left_anti")
         fresh = fresh.select(*alerts.KEY, "ts", "event_id", "risk_score", F.lit(False).alias("sent"),
-                             F.lit(0).alias("tries"), F.lit(batch_id).cast("bigint").alias("n")).persist()
-        backlog = before.where(~F.col("sent")).unionByName(fresh)
+                             F.lit(False).alias("pending"), F.lit(0).alias("tries"), F.lit(batch_id).cast("bigint").alias("n")).persist()
+        reported = self._reported(before, batch_id)
+        waiting = before.where(~F.col("sent") & ~F.col("pending")).unionByName(reported.where(~F.col("sent")))
         # Untried keys come first, so one failing key cannot hold up the queue.
-        planned = backlog.orderBy("tries", "ts", "event_id")
-        planned = planned if self.cap is None else planned.limit(self.cap)
+        planned = waiting.unionByName(fresh).drop("n", "pending")
+        order = ["tries", "ts", "event_id"]
+        if self.cap is not None and self.cap_on == "attempts":
+            planned = planned.orderBy(*order).limit(self.cap)
+        tried = self.outcomes(planned, batch_id)
+        if self.cap is not None and self.cap_on == "sent":
+            tried = _until_sent(tried, order, self.cap)
         path = f"{self.root}/attempts/n={batch_id}"
-        self.outcomes(planned.drop("n"), batch_id).write.mode("overwrite").parquet(path)
-        done = spark.read.parquet(path)
+        tried.write.mode("overwrite").parquet(path)
+        done = spark.read.schema(tried.schema).parquet(path)
         settled = done.select(
-            *alerts.KEY, "ts", "event_id", "risk_score", (F.col("status") == "SENT").alias("sent"),
-            (F.col("tries") + 1).alias("tries"), F.lit(batch_id).cast("bigint").alias("n"))
-        delta = settled.unionByName(fresh.join(settled.select(*alerts.KEY), alerts.KEY, "left_anti"))
-        delta.select(*STATE).coalesce(1 if self.cap is not None and batch_id else 8).write.mode("overwrite").parquet(
-            f"{self.root}/delta/n={batch_id}")
+            *alerts.KEY, "ts", "event_id", "risk_score", F.coalesce(F.col("status") == "SENT", F.lit(False)).alias("sent"),
+            F.col("status").isNull().alias("pending"), (F.col("tries") + 1).alias("tries"),
+            F.lit(batch_id).cast("bigint").alias("n"))
+        new = fresh.unionByName(reported)
+        delta = settled.unionByName(new.join(settled.select(*alerts.KEY), alerts.KEY, "left_anti"))
+        delta.select(*STATE).write.mode("overwrite").parquet(f"{self.root}/delta/n={batch_id}")
         if batch_id and batch_id % self.compact_every == 0:
             latest = before.unionByName(self._read(spark, f"{self.root}/delta/n={batch_id}"))
             first_per_key(latest, alerts.KEY, [F.desc("n")]).write.mode("overwrite").parquet(f"{self.root}/snapshot/n={batch_id}")
         before.unpersist()
         fresh.unpersist()
 
+    def _reported(self, before: DataFrame, batch_id: int) -> DataFrame:
+        """Pending keys whose outcome has become known: no longer pending, sent or not."""
+        pending = before.where("pending")
+        if self.late is None:
+            return pending.limit(0)
+        sent = F.bool_or(F.col("status") == "SENT").alias("_sent")
+        known = self.late(before.sparkSession).where(F.col("status").isNotNull()).groupBy(*alerts.KEY).agg(sent)
+        return pending.join(known, alerts.KEY).withColumns({
+            "sent": F.col("_sent"), "pending": F.lit(False), "n": F.lit(batch_id).cast("bigint")}).select(*STATE)
+
+
+def _until_sent(tried: DataFrame, order: list[str], cap: int) -> DataFrame:
+    """Attempts in order up to the ``cap``-th that was sent; later ones are not made."""
+    place = F.struct(*order)
+    first = tried.where(F.col("status") == "SENT").select(place.alias("_at")).orderBy("_at").limit(cap)
+    last = first.agg(F.max("_at").alias("_last"), F.count(F.lit(1)).alias("_n"))
+    cut = last.select(F.when(F.col("_n") >= cap, F.col("_last"))).scalar()
+    return tried.withColumn("_cut", cut).where(F.col("_cut").isNull() | (place <= F.col("_cut"))).drop("_cut")
+
 
 def with_heartbeat(stream: DataFrame) -> DataFrame:
     """Make every trigger a cycle, so a backlog drains while no new data arrives.
@@ -118,9 +149,11 @@ def start(stream: DataFrame, monitor: Monitor, checkpoint: str, every: str = "60
 
 
 def supervise(stream: DataFrame, monitor: Monitor, checkpoint: str, every: str = "60 seconds",
-              restarts: int | None = None) -> int:
+              restarts: int | None = None, pause: float = 1.0) -> int:
     """Keep the monitor running: a failed cycle is run again from the checkpoint.
 
+    The wait before a restart starts at ``pause`` seconds and doubles up to a minute.
+
     Returns the restarts used once the query is stopped; raises the last error
     when ``restarts`` (None: no limit) are used up.
     """
@@ -133,6 +166,7 @@ def supervise(stream: DataFrame, monitor: Monitor, checkpoint: str, every: str =
         except StreamingQueryException:
             if restarts is not None and used >= restarts:
                 raise
+            time.sleep(min(60.0, pause * 2 ** min(used, 10)))
             used += 1
 
 

@@ -84,3 +84,15 @@ def test_thinning_equals_sequential_greedy(spark, kind, metres, limit):
     df = spark.createDataFrame(rows, "rank long, id long, x double, y double")
     got = {r.id for r in neighbours.thin_by_spacing(df, metres, "rank", "id", limit).collect()}
     assert got == greedy(rows, metres, limit)
+
+
+def test_thinning_rules_on_nulls(spark):
+    rows = [(None if i == 0 else i, i, float(i), 0.0) for i in range(40)] + [(5, 90, None, 1.0), (6, 91, 2.0, float("nan"))]
+    df = spark.createDataFrame(rows, "rank long, id long, x double, y double")
+    got = {r.id for r in neighbours.thin_by_spacing(df, 1.5, "rank", "id").collect()}
+    assert got == set(range(1, 40, 2))  # the row without a rank comes last and is too near; rows without a place are out
+    first = [r.id for r in neighbours.thin_by_spacing(df, 1.5, "rank", "id", 3).sort("id").collect()]
+    assert first == [1, 3, 5]
+    few = {r.id for r in neighbours.thin_by_spacing(df.where("id < 8"), 1.5, "rank", "id", 3).collect()}
+    assert few == set(first)  # whatever the size of the table
+    assert neighbours.thin_by_spacing(df.where("x is null"), 1.5, "rank", "id").count() == 0

@@ -112,3 +112,36 @@ def test_keys_use_station_and_severity(spark):
 def test_resolve_risk(spark, value, want):
     df = spark.createDataFrame([(value, 0.3)], "risk_score string, risk double")
     assert alerts.resolve_risk(df).first().risk_score == want
+
+
+def test_late_outcomes_settle_pending_keys(spark):
+    known = {"rows": []}
+
+    def late(session):
+        return session.createDataFrame(known["rows"], "location_id string, forecast_horizon string, alert_severity string, status string")
+
+    def unknown(planned, batch_id):
+        return planned.withColumn("status", F.lit(None).cast("string"))
+
+    m = Monitor(new_path(spark, "monitor"), cap=2, outcomes=unknown, late=late)
+    m.cycle(batch(spark, FIRST), 0)
+    keys = [tuple(r) for r in m.state(spark, 0).where("pending").sort("ts").select(*alerts.KEY).collect()]
+    assert [k[0] for k in keys] == ["1", "2"]
+    m.cycle(batch(spark, []), 1)  # the pending keys wait, the third is planned
+    assert m.state(spark, 1).where("pending").count() == 3
+    known["rows"] = [(*keys[0], "SENT"), (*keys[1], "FAILED")]
+    m.cycle(batch(spark, []), 2)
+    state = {r.location_id: (r.sent, r.pending, r.tries) for r in m.state(spark, 2).collect()}
+    assert state["1"] == (True, False, 1) and state["2"] == (False, True, 2)
+    assert [r.location_id for r in m.ledger(spark, 2).collect()] == ["1"]
+
+
+def test_cap_on_sent_and_lost_state(spark):
+    def failing(planned, batch_id):
+        return planned.withColumn("status", F.when(F.col("event_id") < 4, "FAILED").otherwise("SENT"))
+
+    m = Monitor(new_path(spark, "monitor"), cap=1, outcomes=failing, cap_on="sent")
+    m.cycle(batch(spark, FIRST), 0)
+    assert [k for _, k, _ in sent(spark, m)] == ["4"]  # two failures did not use up the cap
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        m.cycle(batch(spark, FIRST), 2)  # batch 1 left nothing behind
