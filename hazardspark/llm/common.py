@@ -39,6 +39,22 @@ def slices(batches: Iterator[pa.RecordBatch], most: int = 256) -> Iterator[pa.Re
             yield batch.slice(start, most)
 
 
+def least_hashes(rows: DataFrame, group: str, hash_col: str, n: int) -> DataFrame:
+    """The ``n`` rows of each group with the smallest 64-bit hash.
+
+    Only rows below a bound that about 2n + 50 of a group pass are ranked, so the
+    ranking sees so many of a group, however large it is. ``rows`` is read twice; the
+    counts on the driver are one row per group, which must be few.
+    """
+    counts = rows.groupBy(group).agg(F.count(F.lit(1))).collect()
+    place = F.col(hash_col).cast("double") / F.lit(2.0**64) + F.lit(0.5)
+    bound = F.lit(1.0)
+    for value, count in counts:
+        bound = F.when(F.col(group) == F.lit(value), F.lit((2 * n + 50) / count)).otherwise(bound)
+    rank = F.row_number().over(Window.partitionBy(group).orderBy(hash_col))
+    return rows.where(place < bound).withColumn("_rank", rank).where(F.col("_rank") <= n).drop("_rank")
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 

@@ -23,9 +23,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import LinearSVC
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
-from hazardspark.llm.common import id_remainder, slices
+from hazardspark.llm.common import id_remainder, least_hashes, slices
 from hazardspark.session import materialize
 
 DIM = 2048
@@ -125,8 +125,7 @@ def training_sample(docs: DataFrame, per_language: int) -> DataFrame:
     """At most ``per_language`` distinct texts of each language, by hash."""
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").rlike(r"\p{L}"))
     spots = known.groupBy("lang", F.xxhash64("text").alias("h")).agg(F.min("doc_id").alias("doc_id"))
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("h"))
-    chosen = spots.withColumn("rank", rank).where(F.col("rank") <= per_language).drop("rank")
+    chosen = least_hashes(materialize(spots, "language-texts"), "lang", "h", per_language)
     # per_language rows for each language: a bounded broadcast.
     return (
         known.select("doc_id", "text", "lang", F.xxhash64("text").alias("h"))
