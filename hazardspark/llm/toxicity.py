@@ -24,10 +24,10 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.types import DoubleType, StructType
 
-from hazardspark.llm.common import id_remainder, slices
+from hazardspark.llm.common import id_remainder, least_hashes, slices
 from hazardspark.session import materialize
 
 WORD = r"[^\W\d_]+"
@@ -149,8 +149,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, sample: int) -> DataFram
         .where(id_remainder("doc_id", 5) != 0).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     )
     # Labels first: only about so many are looked up, and each text counts once.
-    rank = F.row_number().over(Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = marks.withColumn("rank", rank).where(F.col("rank") <= sample).drop("rank")
+    marks = materialize(marks.withColumn("_h", F.xxhash64("doc_id")), "toxicity-labels")
+    chosen = least_hashes(marks, "toxic", "_h", sample).drop("_h")
     return (
         docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
         .withColumn("h", F.xxhash64("text")).dropDuplicates(["h", "toxic"]).drop("h")
