@@ -110,9 +110,30 @@ def alert_feed(hotspots: DataFrame, grid: DataFrame) -> DataFrame:
         cells.select(*FEED_COLUMNS, F.col("_no").alias("feed_order")))
 
 
-def alert_summary(feed: DataFrame) -> DataFrame:
-    """Alerts by type and severity with subtotals (NULL = all)."""
-    return feed.rollup("alert_type", "alert_severity").agg(F.count(F.lit(1)).alias("alerts"))
+def alert_candidates(forecast: DataFrame, grid: DataFrame) -> DataFrame:
+    """Rows of both forecasts at or above the alert floor, before repeats are dropped.
+
+    ``station_key`` is what :func:`hotspot_alerts` and :func:`grid_alerts` tell
+    stations and cells by.
+    """
+    hot = with_severity(forecast, "forecast_risk_score").select(
+        F.lit("HOTSPOT_CORRIDOR").alias("alert_type"), F.col("station_name").alias("station_key"), "forecast_horizon",
+        "alert_severity")
+    cells = with_severity(grid, "risk").select(
+        F.lit("REGIONAL_GRID_CELL").alias("alert_type"), F.col("cell_id").cast("string").alias("station_key"),
+        "forecast_horizon", "alert_severity")
+    return hot.unionByName(cells)
+
+
+def alert_summary(candidates: DataFrame) -> DataFrame:
+    """Alerts and rejected repeats by type and severity with subtotals (NULL = all).
+
+    Counted on the candidates: no alert needs its number, place or district for it.
+    """
+    keys = ["alert_type", "alert_severity", "station_key", "forecast_horizon"]
+    groups = candidates.groupBy(*keys).agg((F.count(F.lit(1)) - 1).alias("_again"))
+    return groups.rollup("alert_type", "alert_severity").agg(
+        F.count(F.lit(1)).alias("alerts"), F.sum("_again").alias("rejected"))
 
 
 def hotspot_breakdown(feed: DataFrame) -> DataFrame:

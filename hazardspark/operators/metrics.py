@@ -60,19 +60,25 @@ def score_curve(df: DataFrame) -> DataFrame:
     return running_totals(per_score, [F.desc("prob")], {"tp": F.col("pos"), "fp": F.col("neg")})
 
 
-def roc_auc(df: DataFrame) -> DataFrame:
-    """Share of (positive, negative) pairs in the right order, ties count half."""
-    curve = score_curve(df)
+def _auc() -> Column:
     pos, neg = F.sum(F.col("pos").cast("double")), F.sum(F.col("neg").cast("double"))
     # negatives still to come below this score, plus half of those on it
     right = F.sum(F.col("pos") * (F.lit(-1) * F.col("fp") + F.col("neg") / 2))
-    return curve.agg(ratio(right + pos * neg, pos * neg).alias("roc_auc"))
+    return ratio(right + pos * neg, pos * neg)
+
+
+def _average_precision() -> Column:
+    step = F.col("pos") * ratio(F.col("tp"), F.col("tp") + F.col("fp"))
+    return ratio(F.sum(step), F.sum("pos"))
+
+
+def roc_auc(df: DataFrame) -> DataFrame:
+    """Share of (positive, negative) pairs in the right order, ties count half."""
+    return score_curve(df).agg(_auc().alias("roc_auc"))
 
 
 def average_precision(df: DataFrame) -> DataFrame:
-    curve = score_curve(df)
-    step = F.col("pos") * F.col("tp") / (F.col("tp") + F.col("fp"))
-    return curve.agg(ratio(F.sum(step), F.sum("pos")).alias("average_precision"))
+    return score_curve(df).agg(_average_precision().alias("average_precision"))
 
 
 def brier(df: DataFrame) -> DataFrame:
@@ -81,13 +87,24 @@ def brier(df: DataFrame) -> DataFrame:
 
 
 def report(df: DataFrame, t: float = 0.5) -> DataFrame:
-    """The metrics of one model in long form."""
-    out = None
-    for part in (roc_auc(df), average_precision(df), brier(df), confusion(df, t)):
-        for c in part.columns:
-            row = part.select(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value"))
-            out = row if out is None else out.unionByName(row)
-    return out
+    """The metrics of one model in long form.
+
+    All of them follow from one score curve, so the scored rows are read once.
+    """
+    prob, pos, neg = F.col("prob"), F.col("pos"), F.col("neg")
+    hit = prob >= F.lit(t)
+
+    def n(side: Column, where: Column) -> Column:
+        return F.coalesce(F.sum(F.when(where, side)), F.lit(0))
+
+    gaps = F.sum(pos * (1 - prob) * (1 - prob) + neg * prob * prob)
+    one = score_curve(df).agg(
+        _auc().alias("roc_auc"), _average_precision().alias("average_precision"),
+        ratio(gaps, F.sum(F.when(prob.isNotNull(), pos + neg))).alias("brier"),
+        n(pos, hit).alias("tp"), n(neg, hit).alias("fp"), n(pos, ~hit).alias("fn"), n(neg, ~hit).alias("tn"),
+    ).withColumns(_scores())
+    rows = [F.struct(F.lit(c).alias("metric"), F.col(c).cast("double").alias("value")) for c in one.columns]
+    return one.select(F.inline(F.array(*rows)))
 
 
 def calibration(df: DataFrame, bins: int = 8) -> DataFrame:

@@ -7,10 +7,12 @@ from functools import reduce
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from hazardspark.functions.numeric import nan_to_null
 from hazardspark.operators import dataset, metrics
 from hazardspark.session import materialize, shared_dir
 
@@ -20,62 +22,77 @@ NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil
 CATEGORICAL = ("land_cover",)
 
 
-def prep_stages(numeric: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = CATEGORICAL) -> list[Transformer]:
-    """Scale numerics; one-hot categories, all zeros for a category not seen in training."""
+def prep_stages(n: int, numeric: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = CATEGORICAL) -> list[Transformer]:
+    """Scale numerics by the population deviation of the ``n`` training rows; one-hot
+    categories, all zeros for a category that is missing or not seen in training.
+
+    A missing numeric value becomes NaN; fits leave such rows out, scores are NULL.
+    """
+    # the scaler divides by the sample deviation
+    to_population = math.sqrt(n / (n - 1)) if n > 1 else 1.0
     indexed, hot = [f"{c}_idx" for c in categorical], [f"{c}_hot" for c in categorical]
     return [
         StringIndexer(inputCols=list(categorical), outputCols=indexed, handleInvalid="keep", stringOrderType="alphabetAsc"),
         OneHotEncoder(inputCols=indexed, outputCols=hot, dropLast=True),
-        VectorAssembler(inputCols=list(numeric), outputCol="_numeric"),
-        StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
-        VectorAssembler(inputCols=["_scaled", *hot], outputCol="features"),
+        VectorAssembler(inputCols=list(numeric), outputCol="_numeric", handleInvalid="keep"),
+        StandardScaler(inputCol="_numeric", outputCol="_sample_scaled", withMean=True, withStd=True),
+        ElementwiseProduct(inputCol="_sample_scaled", outputCol="_scaled", scalingVec=Vectors.dense([to_population] * len(numeric))),
+        VectorAssembler(inputCols=["_scaled", *hot], outputCol="features", handleInvalid="keep"),
     ]
 
 
-def prep_pipeline(numeric=NUMERIC, categorical=CATEGORICAL) -> Pipeline:
-    return Pipeline(stages=prep_stages(numeric, categorical))
+def prep_pipeline(n: int, numeric=NUMERIC, categorical=CATEGORICAL) -> Pipeline:
+    return Pipeline(stages=prep_stages(n, numeric, categorical))
 
 
-ROWS_PER_PARTITION = 50_000
+def complete(numeric=NUMERIC) -> Column:
+    """True where no numeric feature is missing."""
+    return reduce(Column.__and__, [nan_to_null(F.col(c).cast("double")).isNotNull() for c in numeric])
 
 
-def _training_rows(df: DataFrame, label: str, numeric, categorical) -> tuple[DataFrame, int]:
-    """The needed columns, cached for the many passes of a fit, and their count."""
-    rows = df.select(*numeric, *categorical, label).persist()
-    return rows, rows.count()
+def missing_features(df: DataFrame, numeric=NUMERIC) -> DataFrame:
+    """Rows, and those which a fit leaves out and a score leaves NULL."""
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count_if(~complete(numeric)).alias("without_score"))
 
 
-def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
-    """Fit on cached rows.
+def _training_rows(df: DataFrame, label: str, numeric, categorical, parts: int | None) -> tuple[DataFrame, int]:
+    """The rows with all numeric features, cached for the many passes of a fit, and their count.
 
-    Iterative fits run thousands of short stages, so small data is kept in few
-    partitions; large data keeps the partitions it has.
+    Iterative fits run thousands of short stages; ``parts`` sets in how many partitions
+    the rows are kept (by default those they have). Forests and boosting draw their
+    samples per partition, so a fit repeats for the same partitions only.
     """
-    packed = rows.coalesce(max(1, math.ceil(n / ROWS_PER_PARTITION)))
-    model = Pipeline(stages=[*prep_stages(numeric, categorical), classifier]).fit(packed)
+    rows = df.where(complete(numeric) & F.col(label).isNotNull()).select(*numeric, *categorical, label)
+    rows = (rows if parts is None else rows.coalesce(parts)).persist()
+    return rows, rows.count()
+
+
+def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
+    model = Pipeline(stages=[*prep_stages(n, numeric, categorical), classifier]).fit(rows)
     rows.unpersist()
     return model
 
 
-def fit_logistic(df: DataFrame, c: float = 1.0, label: str = "label", numeric=NUMERIC, categorical=CATEGORICAL) -> PipelineModel:
+def fit_logistic(df: DataFrame, c: float = 1.0, label: str = "label", numeric=NUMERIC, categorical=CATEGORICAL,
+                 parts: int | None = None) -> PipelineModel:
     """Ridge logistic regression; ``c`` weighs the data against the penalty."""
-    rows, n = _training_rows(df, label, numeric, categorical)
+    rows, n = _training_rows(df, label, numeric, categorical, parts)
     reg = 1.0 / (c * n)
     clf = LogisticRegression(labelCol=label, regParam=reg, elasticNetParam=0.0, standardization=False, maxIter=1000)
     return _fit(rows, n, clf, numeric, categorical)
 
 
 def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, leaf: int = 3, seed: int = 42, label: str = "label",
-               numeric=NUMERIC, categorical=CATEGORICAL) -> PipelineModel:
-    rows, n = _training_rows(df, label, numeric, categorical)
+               numeric=NUMERIC, categorical=CATEGORICAL, parts: int | None = None) -> PipelineModel:
+    rows, n = _training_rows(df, label, numeric, categorical, parts)
     clf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
     return _fit(rows, n, clf, numeric, categorical)
 
 
 def fit_boosted(df: DataFrame, rounds: int = 200, rate: float = 0.05, depth: int = 6, subsample: float = 0.8,
                 columns: float = 0.8, seed: int = 42, label: str = "label", numeric=NUMERIC,
-                categorical=CATEGORICAL) -> PipelineModel:
-    rows, n = _training_rows(df, label, numeric, categorical)
+                categorical=CATEGORICAL, parts: int | None = None) -> PipelineModel:
+    rows, n = _training_rows(df, label, numeric, categorical, parts)
     # Boosting extends the lineage every round; checkpoints cut it.
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -86,8 +103,9 @@ def fit_boosted(df: DataFrame, rounds: int = 200, rate: float = 0.05, depth: int
 
 
 def score(df: DataFrame, model: PipelineModel, prob: str = "prob") -> DataFrame:
-    """Add the probability of class 1."""
-    scored = model.transform(df).withColumn(prob, vector_to_array("probability")[1])
+    """Add the probability of class 1; NULL for a row without some numeric feature."""
+    known = complete(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
+    scored = model.transform(df).withColumn(prob, F.when(known, vector_to_array("probability")[1]))
     return scored.select(*df.columns, prob)
 
 
@@ -104,18 +122,19 @@ def feature_ranking(spark: SparkSession, model: PipelineModel, numeric=NUMERIC,
     return spark.createDataFrame(rows, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
 
 
-def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fit=fit_logistic, metres: float | None = 500.0,
+def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fits: dict, metres: float | None = 500.0,
                    **kw) -> DataFrame:
-    """ROC-AUC of a fresh hold-out and fit per seed."""
+    """ROC-AUC of every model for a fresh hold-out per seed."""
     parts = []
     for seed in seeds:
         split = dataset.group_holdout(df, group, seed=seed)
         if metres is not None:
             split = dataset.buffered_train(split, key, metres)
         split = materialize(split, "split")
-        model = fit(split.where(~F.col("is_test")), **kw)
-        auc = metrics.roc_auc(score(split.where("is_test"), model))
-        parts.append(auc.select(F.lit(seed).alias("seed"), "roc_auc"))
+        for name, fit in fits.items():
+            model = fit(split.where(~F.col("is_test")), **kw)
+            auc = metrics.roc_auc(score(split.where("is_test"), model))
+            parts.append(auc.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), "roc_auc"))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -77,21 +77,30 @@ FEED = HOT + LONG + REGION + f"""
 """
 
 
-def hotspots(t):
+def station_reports(t):
     key = F.col("s_suppkey")
     place = t.supplier.select(
         key.alias("station_id"), ((F.lit(27000000) + key * 7919 % 900 * 1000).cast("double") / 1e6).alias("latitude"),
         ((F.lit(88000000) + key * 10459 % 900 * 1000).cast("double") / 1e6).alias("longitude"))
-    return alerts.hotspot_alerts(forecast.station_forecast(t.fx_stations).join(place, "station_id"), issued())
+    return forecast.station_forecast(t.fx_stations).join(place, "station_id")
 
 
-def regional(t):
+def hotspots(t):
+    return alerts.hotspot_alerts(station_reports(t), issued())
+
+
+def regional_forecast(t):
+    """The long forecast of the cells, and the cells."""
     key = F.col("cell_id")
     cells = risk.score_cells(t.fx_scored, score_digits=None).withColumns({
         "latitude": (F.lit(27050000) + key * 7919 % 800 * 1000).cast("double") / 1e6,
         "longitude": (F.lit(88050000) + key * 10459 % 797 * 1000).cast("double") / 1e6,
     })
-    long = forecast.scenario_forecast(cells, keep=["cell_id", "latitude", "longitude"])
+    return forecast.scenario_forecast(cells, keep=["cell_id", "latitude", "longitude"]), cells
+
+
+def regional(t):
+    long, cells = regional_forecast(t)
     return alerts.grid_alerts(long, cells, t.fx_points.where(F.col("label") == 1), issued())
 
 
@@ -121,9 +130,15 @@ def j6(t):
 
 
 @query("j7_alert_summary", "fx_stations fx_scored fx_points", FEED + """
-SELECT alert_type, alert_severity, count(*) AS alerts FROM feed GROUP BY ROLLUP (alert_type, alert_severity)""")
+SELECT alert_type, alert_severity, count(DISTINCT (alert_type, location, forecast_horizon, alert_severity)) AS alerts,
+  count(*) - count(DISTINCT (alert_type, location, forecast_horizon, alert_severity)) AS rejected
+FROM (SELECT * FROM feed UNION ALL SELECT * FROM feed WHERE alert_type = 'HOTSPOT_CORRIDOR' AND CAST(station_id AS BIGINT) % 3 = 0) x
+GROUP BY ROLLUP (alert_type, alert_severity)""")
 def j7(t):
-    return alerts.alert_summary(feed(t))
+    """Every third station reports twice."""
+    reports = station_reports(t)
+    reports = reports.unionByName(reports.where(F.col("station_id") % 3 == 0))
+    return alerts.alert_summary(alerts.alert_candidates(reports, regional_forecast(t)[0]))
 
 
 @query("j7_hotspot_breakdown", "fx_stations fx_scored fx_points", FEED + """

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from hazardspark.operators import dataset, grid, metrics, models, spatial
+from hazardspark.functions.numeric import nan_to_null
+from hazardspark.operators import dataset, grid, metrics, models, spatial, terrain
 from hazardspark.plans.grid import WIDE, coarse
 from hazardspark.plans.registry import query
-from hazardspark.plans.spatial import DM, STACK, candidates, stacked
+from hazardspark.plans.spatial import COL, DM, ROW, STACK, candidates, stacked
 from hazardspark.plans.tables import cells_meta
+from hazardspark.plans.terrain import STENCIL, base
+from hazardspark.session import materialize
 from hazardspark.sources.raster import raster_cells
 
 RAIN = "rain AS (SELECT cell_id AS sl_no, r24, r72, r7d FROM fx_scored)"
@@ -116,40 +121,63 @@ def k7(t):
     return dataset.group_kfold(t.fx_predictions, "block").select("id", "block", "fold")
 
 
-NUMERIC = tuple(f"e{i}" for i in range(8))
+NUMERIC = ("z", "slope", "aspect", "curvature", "clay", "sand", "silt", "bulk_density")
 MODEL = dict(numeric=NUMERIC, categorical=("land_cover",))
+FITS = {
+    "logistic": models.fit_logistic, "forest": models.fit_forest,
+    # a tenth of the rounds: these run once per fold or seed, k11 fits with all
+    "boosted": partial(models.fit_boosted, rounds=20),
+}
+CODES = (10, 30, 50, 60, 80)
 
 
 def samples(t):
-    """Embeddings as model input: eight numeric features and one class code."""
-    codes = F.array(*[F.lit(c) for c in (10, 30, 50, 60)])
-    return t.embeddings.select(
-        "vec_id", (F.col("label") < 5).cast("int").alias("label"), F.get(codes, (F.col("vec_id") % 4).cast("int")).cast("string").alias("land_cover"),
-        (F.col("vec_id") % 24).cast("int").alias("block"), *[F.get("embedding", i).cast("double").alias(f"e{i}") for i in range(8)])
+    """Points with terrain, soil and land cover, in local metres and spatial blocks."""
+    meta = cells_meta(t)
+    layers = dict.fromkeys(("z", "slope", "aspect", "curvature"), -9999.0)
+    cells = terrain.derivatives(base(t), meta).join(base(t).select("r", "c", "land_cover"), ["r", "c"])
+    points = t.fx_points.select("sl_no", "label", "latitude", "longitude")
+    points = spatial.stack_layers(points, cells, meta, {**layers, "land_cover": None}).join(t.fx_soil, "sl_no")
+    points = points.withColumn("land_cover", F.col("land_cover").cast("string"))
+    return dataset.spatial_blocks(spatial.local_metres(points))
 
 
 def holdout(t):
-    data = dataset.group_holdout(samples(t), "block")
+    """Training rows at least 500 m from every test row, and the test rows."""
+    data = materialize(dataset.group_holdout(samples(t), "spatial_block"), "holdout")
+    data = dataset.buffered_train(data, "sl_no")
     return data.where(~F.col("is_test")).drop("is_test"), data.where("is_test").drop("is_test")
 
 
 def _scored(t, fit, **kw):
     train, test = holdout(t)
-    return models.score(test, fit(train, **MODEL, **kw)).select("vec_id", "label", F.round("prob", 6).alias("prob"))
+    return models.score(test, fit(train, **MODEL, **kw)).select("sl_no", "label", F.round("prob", 6).alias("prob"))
 
 
-E = [f"e{i}" for i in range(8)]
-SAMPLE = "sample AS (SELECT vec_id, CAST(vec_id % 4 AS INTEGER) AS code, " + ", ".join(
-    f"CAST(embedding[{i + 1}] AS DOUBLE) AS e{i}" for i in range(8)) + " FROM embeddings)"
+ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC)
+SAMPLE = STENCIL + f"""
+, sample AS (SELECT p.sl_no, k.z, k.slope, k.aspect, k.curvature, m.land_cover, clay, sand, silt, bulk_density
+  FROM (SELECT *, {ROW} AS r, {COL} AS c FROM fx_points) p JOIN fx_soil s ON s.sl_no = p.sl_no
+  LEFT JOIN terrain k ON k.r = p.r AND k.c = p.c LEFT JOIN fx_cells m ON m.r = p.r AND m.c = p.c)
+, fitted AS (SELECT {", ".join(f"avg({c}) AS {c}_mean, stddev_pop({c}) AS {c}_std" for c in NUMERIC)} FROM sample WHERE {ALL_KNOWN})
+"""
 
 
-@query("k8_prep_pipeline", "", f"WITH {SAMPLE} SELECT vec_id, " + ", ".join(
-    f"round(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 8) AS f{i}" for i, c in enumerate(E)) + ", " + ", ".join(
-    f"CASE WHEN code = {i} THEN 1e0 ELSE 0e0 END AS f{8 + i}" for i in range(4)) + " FROM sample")
+@query("k8_prep_pipeline", "fx_points fx_cells fx_soil", SAMPLE + "SELECT sl_no, " + ", ".join(
+    f"round((s.{c} - {c}_mean) / {c}_std, 6) AS f{i}" for i, c in enumerate(NUMERIC)) + ", " + ", ".join(
+    f"CASE WHEN land_cover = {code} THEN 1e0 ELSE 0e0 END AS f{8 + i}" for i, code in enumerate(CODES)) + " FROM sample s CROSS JOIN fitted")
 def k8(t):
-    data = samples(t)
-    ready = models.prep_pipeline(**MODEL).fit(data).transform(data).withColumn("_f", vector_to_array("features"))
-    return ready.select("vec_id", *[F.round(F.col("_f")[i], 8).alias(f"f{i}") for i in range(12)])
+    data = materialize(samples(t), "samples")
+    known = data.where(models.complete(NUMERIC))
+    ready = models.prep_pipeline(known.count(), **MODEL).fit(known).transform(data)
+    ready = ready.withColumn("_f", vector_to_array("features"))
+    return ready.select("sl_no", *[F.round(nan_to_null(F.col("_f")[i]), 6).alias(f"f{i}") for i in range(13)])
+
+
+@query("k8_missing_features", "fx_points fx_cells fx_soil", SAMPLE + f"""
+SELECT count(*) AS rows, count(*) FILTER (WHERE NOT ({ALL_KNOWN})) AS without_score FROM sample""")
+def k8_missing(t):
+    return models.missing_features(samples(t), NUMERIC)
 
 
 @query("k9_fit_logistic")
@@ -169,8 +197,8 @@ def k11(t):
 
 @query("k12_score")
 def k12(t):
-    data = samples(t)
-    return models.score(data, models.fit_logistic(data, **MODEL)).select("vec_id", "prob")
+    data = materialize(samples(t), "samples")
+    return models.score(data, models.fit_logistic(data, **MODEL)).select("sl_no", "prob")
 
 
 COUNTS = """count(*) FILTER (WHERE prob >= {t} AND label = 1) AS tp, count(*) FILTER (WHERE prob >= {t} AND label = 0) AS fp,
@@ -290,7 +318,8 @@ def k21(t):
 
 @query("k22_seed_stability")
 def k22(t):
-    out = models.seed_stability(samples(t), "block", "vec_id", [42, 101, 777, 999, 2024], metres=None, **MODEL)
+    data = materialize(samples(t), "samples")
+    out = models.seed_stability(data, "spatial_block", "sl_no", [42, 101, 777, 999, 2024], FITS, **MODEL)
     return out.withColumn("roc_auc", F.round("roc_auc", 4))
 
 
@@ -309,8 +338,8 @@ def k24(t):
 
 @query("k7_cross_validate")
 def k7_validate(t):
-    """Grouped cross-validation of the linear model, summarised per metric."""
-    scores = models.cross_validate(samples(t), "block", "vec_id", {"logistic": models.fit_logistic}, metres=None, **MODEL)
+    """Grouped cross-validation of three models with a 500 m buffer, summarised per metric."""
+    scores = models.cross_validate(materialize(samples(t), "samples"), "spatial_block", "sl_no", FITS, **MODEL)
     return metrics.cv_summary(scores)
 
 
@@ -319,14 +348,17 @@ FEATURES = dict(numeric=("z", "bulk_density"), categorical=("land_cover",))
 
 @query("g8_refine_with_model")
 def g8_model(t):
-    """Children of flagged cells: features sampled again, scored by a fitted model."""
+    """Children of flagged cells: features sampled again, scored by a fitted model.
+
+    A child without some feature stays, with a NULL score.
+    """
     meta = cells_meta(t)
     soil = t.fx_points.select("sl_no", "latitude", "longitude", "label").join(t.fx_soil.select("sl_no", "bulk_density"), "sl_no")
     layers = {"z": -9999.0, "land_cover": None}
-    train = spatial.stack_layers(soil, t.fx_cells, meta, layers).na.drop()
+    train = spatial.stack_layers(soil, t.fx_cells, meta, layers)
     model = models.fit_logistic(train.withColumn("land_cover", F.col("land_cover").cast("string")), **FEATURES)
     parents = grid.focal_parents(coarse(t), WIDE)
-    kids = grid.resample(grid.subdivide(parents), t.fx_cells, meta, layers, soil, "bulk_density").na.drop()
+    kids = grid.resample(grid.subdivide(parents), t.fx_cells, meta, layers, soil, "bulk_density")
     kids = kids.withColumn("land_cover", F.col("land_cover").cast("string"))
     return grid.refine(models.score(kids, model, "p")).select(
         "fine_cell_id", "parent_susceptibility", "fine_susceptibility", "risk_delta", "micro_risk_tier")

@@ -43,11 +43,45 @@ def test_fits_rank_held_out_groups(data, fit, kw):
 
 
 def test_unknown_category_is_all_zeros(data, spark):
-    fitted = models.prep_pipeline(**COLS).fit(data)
+    fitted = models.prep_pipeline(data.count(), **COLS).fit(data)
     new = spark.createDataFrame([(0.0, 0.0, "99")], "a double, b double, kind string")
     assert fitted.transform(new).select(vector_to_array("features")).first()[0][2:] == [0.0, 0.0]
 
 
+def test_numerics_are_scaled_by_the_population_deviation(data):
+    ready = models.prep_pipeline(data.count(), **COLS).fit(data).transform(data)
+    first = ready.select(vector_to_array("features")[0].alias("v"))
+    assert first.agg(F.stddev_pop("v")).first()[0] == pytest.approx(1.0, abs=1e-12)
+
+
+def test_missing_features_leave_the_row_without_score(data, spark):
+    holed = data.withColumn("a", F.when(F.col("id") % 10 != 0, F.col("a")))
+    holed = holed.withColumn("b", F.when(F.col("id") % 10 == 1, float("nan")).otherwise(F.col("b")))
+    holed = holed.withColumn("kind", F.when(F.col("id") % 10 != 2, F.col("kind")))
+    assert models.missing_features(holed, ("a", "b")).first() == (600, 120)
+    for fit, kw in ((models.fit_logistic, {"parts": 2}), (models.fit_forest, {"trees": 5})):
+        scored = models.score(holed, fit(holed, **kw, **COLS))
+        gone = {r.id % 10 for r in scored.where("prob IS NULL").select("id").collect()}
+        assert scored.count() == 600 and gone == {0, 1}
+        assert scored.where("prob IS NOT NULL AND NOT isnan(prob)").count() == 480
+
+
+def test_report_equals_the_single_metrics(data):
+    scored = models.score(data, models.fit_logistic(data, **COLS)).persist()
+    got = {r.metric: r.value for r in metrics.report(scored).collect()}
+    want = {}
+    for part in (metrics.roc_auc(scored), metrics.average_precision(scored), metrics.brier(scored), metrics.confusion(scored)):
+        want.update(part.first().asDict())
+    assert list(got) == list(want)
+    assert all(got[k] == pytest.approx(float(want[k]), abs=1e-12) for k in want)
+
+
+def test_seed_stability_names_the_models(data):
+    fits = {"lr": models.fit_logistic, "again": models.fit_logistic}
+    rows = models.seed_stability(data, "block", "id", [1, 2], fits, metres=None, **COLS).collect()
+    assert sorted((r.model, r.seed) for r in rows) == [("again", 1), ("again", 2), ("lr", 1), ("lr", 2)]
+
+
 def test_ranking_names_every_feature(data, spark):
     rows = models.feature_ranking(spark, models.fit_logistic(data, **COLS), **COLS).collect()
     assert {r.feature for r in rows} == {"a", "b", "kind_10", "kind_30"}
