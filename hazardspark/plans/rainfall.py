@@ -59,7 +59,7 @@ def f2_grid(t):
 
 COVER = """cover AS (
   SELECT q.event_date, q.events, count(a.d) AS days_present
-  FROM (SELECT event_date, count(*) AS events FROM fx_events_at GROUP BY event_date) q
+  FROM (SELECT event_date, count(*) AS events FROM fx_events_at WHERE event_date IS NOT NULL GROUP BY event_date) q
   CROSS JOIN (SELECT unnest(range(0, 7)) AS lag) l
   LEFT JOIN (SELECT DISTINCT d FROM fx_rain_daily) a ON a.d = q.event_date - CAST(l.lag AS INTEGER)
   GROUP BY q.event_date, q.events)
@@ -123,7 +123,7 @@ SELECT count(*) AS rows,
   count(*) FILTER (WHERE r24 < 0) + count(*) FILTER (WHERE r72 < 0) + count(*) FILTER (WHERE r7d < 0) AS negative_values,
   count(*) FILTER (WHERE r72 < r24 - 1e-5) AS r72_below_r24, count(*) FILTER (WHERE r7d < r72 - 1e-5) AS r7d_below_r72,
   count(*) FILTER (WHERE r24 IS NULL) + count(*) FILTER (WHERE r72 IS NULL) + count(*) FILTER (WHERE r7d IS NULL) AS missing_values,
-  count(*) FILTER (WHERE day(event_date) <= 6) AS month_boundary_rows FROM windows""")
+  count(*) FILTER (WHERE day(event_date) <= 6) AS month_boundary_rows FROM windows WHERE event_date IS NOT NULL""")
 def f6(t):
     return rainfall.accumulation_checks(rainfall.antecedent_at(t.fx_events_at, t.fx_rain_daily), tol=1e-5)
 
@@ -231,6 +231,33 @@ def f11(t):
     return rainfall.verdict(_checks(t).drop("counts_ok", "all_complete"))
 
 
+@query("f11_verdict_per_reading", "fx_rain_daily fx_events_at", ", " + AT_EACH + ", " + RAW + """
+, short AS (SELECT cell_id, event_date AS d, count(*) AS n FROM windows WHERE event_date IS NOT NULL AND r7d IS NULL GROUP BY 1, 2)
+, found AS (SELECT w.cell_id, w.d, CAST(w.precip IS NULL AS BIGINT) AS unreadable_files, CAST(coalesce(w.precip < 0, FALSE) AS BIGINT) AS points_outside,
+    CAST(p.d IS NULL AS BIGINT) AS missing_files, coalesce(s.n, 0) AS incomplete_events
+  FROM raw w LEFT JOIN fx_rain_daily p ON p.cell_id = w.cell_id AND p.d = w.d - 1
+  LEFT JOIN short s ON s.cell_id = w.cell_id AND s.d = w.d)
+SELECT *, CASE WHEN missing_files + incomplete_events > 0 THEN 'PARTIAL' WHEN unreadable_files + points_outside > 0 THEN 'FAIL' ELSE 'PASS' END AS status,
+  CASE WHEN unreadable_files + points_outside + missing_files + incomplete_events = 0 THEN 'all checks passed' ELSE concat_ws('; ',
+    CASE WHEN unreadable_files > 0 THEN unreadable_files || ' files could not be read' END,
+    CASE WHEN points_outside > 0 THEN points_outside || ' points outside the grid' END,
+    CASE WHEN missing_files > 0 THEN missing_files || ' expected files missing' END,
+    CASE WHEN incomplete_events > 0 THEN incomplete_events || ' events without a complete lookback' END) END AS reasons
+FROM found""")
+def f11_per_reading(t):
+    """The verdict of every reading, so that each rule can hold and fail."""
+    day_before = t.fx_rain_daily.select("cell_id", F.date_add("d", 1).alias("d"), F.lit(True).alias("_before"))
+    windows = rainfall.antecedent_at(t.fx_events_at, t.fx_rain_daily)
+    short = windows.where(F.col("event_date").isNotNull() & F.col("r7d").isNull()).groupBy(
+        "cell_id", F.col("event_date").alias("d")).agg(F.count(F.lit(1)).alias("_short"))
+    found = _raw(t).join(day_before, ["cell_id", "d"], "left").join(short, ["cell_id", "d"], "left")
+    return rainfall.verdict(found.select(
+        "cell_id", "d", F.col("precip").isNull().cast("bigint").alias("unreadable_files"),
+        F.coalesce(F.col("precip") < 0, F.lit(False)).cast("bigint").alias("points_outside"),
+        F.col("_before").isNull().cast("bigint").alias("missing_files"),
+        F.coalesce("_short", F.lit(0)).cast("bigint").alias("incomplete_events")))
+
+
 @query("f11_verified", "fx_rain_daily fx_events_at", CHECKS + """
 SELECT incomplete_events, TRUE AS counts_ok, incomplete_events = 0 AS all_complete,
   CASE WHEN incomplete_events = 0 THEN 'VERIFIED' ELSE 'DATA EXTRACTION ISSUE' END AS decision FROM checks""")

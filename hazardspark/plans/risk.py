@@ -93,7 +93,7 @@ def h6_summary(t):
 @query("risk_chain", "fx_rain_daily fx_scored", ", " + ROLL + f"""
 , last AS (SELECT * FROM roll WHERE n7 = 7 QUALIFY row_number() OVER (PARTITION BY cell_id ORDER BY d DESC) = 1)
 , g AS (SELECT x.cell_id, x.s, l.s1 AS r24, l.s3 AS r72, l.s7 AS r7d
-  FROM fx_scored x LEFT JOIN last l ON l.cell_id = x.cell_id % 15)
+  FROM fx_scored x LEFT JOIN last l ON l.cell_id = x.cell_id % (SELECT max(cell_id) + 1 FROM fx_rain_daily))
 , i AS (SELECT *, {q.ridx('r24', 'r72', 'r7d')} AS ri FROM g), k AS (SELECT *, {q.risk('s', 'ri')} AS rk FROM i)
 , tiers AS (SELECT {q.tier('rk')} AS tier FROM k)
 , shown AS (SELECT * FROM (VALUES (0, 'Low'), (1, 'Moderate'), (2, 'High'), (3, 'Very High')) v(tier_order, tier))
@@ -104,6 +104,7 @@ def risk_chain(t):
     windows = rainfall.rolling_windows(t.fx_rain_daily).where(F.col("r7d").isNotNull())
     latest = first_per_key(windows, ["cell_id"], [F.desc("d")])
     rain = latest.select(F.col("cell_id").alias("rain_cell"), "r24", "r72", "r7d")
-    grid = t.fx_scored.select("cell_id", "s", (F.col("cell_id") % 15).alias("rain_cell"))
+    cells = t.fx_rain_daily.agg(F.max("cell_id") + 1).scalar()
+    grid = t.fx_scored.select("cell_id", "s", (F.col("cell_id") % cells).alias("rain_cell"))
     scored = risk.score_cells(grid.join(rain, "rain_cell", "left"))
     return risk.tier_counts(scored, "risk_category").withColumn("pct", F.round("pct", 9))

@@ -24,8 +24,8 @@ SELECT user_id AS cell_id, CAST(ts AS DATE) AS d,
 FROM events GROUP BY user_id, CAST(ts AS DATE)
 """,
     "fx_events_at": """
-SELECT event_id, user_id AS cell_id, CAST(ts AS DATE) AS event_date
-FROM events WHERE event_type = 'error'
+SELECT event_id, user_id AS cell_id, CASE WHEN event_type = 'error' THEN CAST(ts AS DATE) END AS event_date
+FROM events
 """,
     "fx_scored": """
 SELECT o_orderkey AS cell_id,
