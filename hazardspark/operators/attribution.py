@@ -79,11 +79,13 @@ def local_top(phi: DataFrame, n: int = 8, key: str = "id") -> DataFrame:
 
 
 def additivity_check(df: DataFrame, phi: DataFrame, base: DataFrame, coefficients: dict[str, float], intercept: float,
-                     key: str = "id") -> DataFrame:
-    """Largest gap between base + sum(phi) and the model's logit."""
+                     key: str = "id", own: str | None = None) -> DataFrame:
+    """Largest gap between base + sum(phi) and the model's logit: column ``own``, which the
+    model computed itself, or without it the logit of the coefficients."""
     logit = F.lit(float(intercept))
     for c, w in coefficients.items():
         logit = logit + F.lit(float(w)) * F.col(c)
+    logit = logit if own is None else F.col(own)
     sums = phi.groupBy(key).agg(F.sum("phi").alias("_sum"))
     gap = F.abs(F.col("_sum") + F.col("_base") - F.col("_logit"))
     joined = df.select(key, logit.alias("_logit")).join(sums, key).withColumn("_base", base.scalar())

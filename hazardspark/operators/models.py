@@ -114,6 +114,41 @@ def feature_names(model: PipelineModel, numeric=NUMERIC, categorical=CATEGORICAL
     return [*numeric, *[f"{c}_{v}" for c, values in zip(categorical, labels) for v in values]]
 
 
+def linear_terms(model: PipelineModel, numeric=NUMERIC, categorical=CATEGORICAL) -> tuple[dict[str, float], float]:
+    """Coefficients of a fitted linear pipeline by transformed feature, and its intercept.
+
+    Names are ``num__`` or ``cat__`` and the feature, one-hot columns included.
+    """
+    kinds = ["num__"] * len(numeric)
+    names = feature_names(model, numeric, categorical)
+    kinds += ["cat__"] * (len(names) - len(numeric))
+    last = model.stages[-1]
+    return {k + n: float(w) for k, n, w in zip(kinds, names, last.coefficients.toArray())}, float(last.intercept)
+
+
+def transformed(df: DataFrame, model: PipelineModel, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
+    """Scorable rows with one column per transformed feature and the model's own ``logit``."""
+    names = list(linear_terms(model, numeric, categorical)[0])
+    values = F.col("_values")
+    ready = model.transform(df.where(complete(numeric))).select(
+        *df.columns, vector_to_array("features").alias("_values"), vector_to_array("rawPrediction")[1].alias("logit"))
+    return ready.select(*df.columns, *[values[i].alias(n) for i, n in enumerate(names)], "logit")
+
+
+def penalised_gradient(df: DataFrame, model: PipelineModel, label: str = "label", numeric=NUMERIC,
+                       categorical=CATEGORICAL) -> DataFrame:
+    """Gradient of the penalised mean log loss at the fitted coefficients, one row per
+    feature and ``intercept``; zero at the optimum of the rows it was fitted on."""
+    coefficients, _ = linear_terms(model, numeric, categorical)
+    reg = model.stages[-1].getRegParam()
+    off = 1 / (1 + F.exp(-F.col("logit"))) - F.col(label)
+    rows = transformed(df.where(F.col(label).isNotNull()), model, numeric, categorical)
+    means = rows.agg(F.avg(off).alias("intercept"), *[F.avg(off * F.col(c)).alias(c) for c in coefficients])
+    entries = [F.struct(F.lit("intercept").alias("feature"), F.col("intercept").alias("gradient"))]
+    entries += [F.struct(F.lit(c).alias("feature"), (F.col(c) + F.lit(reg * w)).alias("gradient")) for c, w in coefficients.items()]
+    return means.select(F.inline(F.array(*entries)))
+
+
 def feature_ranking(spark: SparkSession, model: PipelineModel, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Coefficients or importances by absolute value; one row per model feature."""
     last = model.stages[-1]

@@ -1,11 +1,14 @@
-"""Attribution queries on eight embedding columns and a fixed linear model."""
+"""Attribution queries: a fixed linear model on eight embedding columns, and the fitted one."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from hazardspark.operators import attribution as attr
+from hazardspark.operators import models
+from hazardspark.plans import modeling
 from hazardspark.plans.registry import query
+from hazardspark.session import materialize
 
 FEATURES = [n for n in attr.LABELS if n.startswith("num__")]
 COEF = dict(zip(FEATURES, (-1.6, 1.2, 0.3, -0.45, 0.7, -0.25, 0.15, -0.9)))
@@ -103,3 +106,29 @@ def summary(t):
     ranking = attr.global_ranking(phi(t))
     sample = attr.representative_row(samples(t))
     return attr.summary(ranking, sample, attr.local_top(phi(t)), "LogisticRegression", "Attribution is not causal proof.")
+
+
+def fitted(t):
+    """Transformed samples of the fitted linear model, its terms and the background."""
+    data = materialize(modeling.samples(t), "samples")
+    model = models.fit_logistic(data, **modeling.MODEL)
+    terms, intercept = models.linear_terms(model, **modeling.MODEL)
+    rows = materialize(models.transformed(data, model, **modeling.MODEL), "transformed")
+    return rows, terms, intercept, attr.background(rows, list(terms), key="sl_no")
+
+
+@query("l2_fitted_attribution")
+def l2_fitted(t):
+    rows, terms, _, means = fitted(t)
+    phi = attr.linear_attribution(rows, terms, means, key="sl_no")
+    return phi.select("sl_no", "feature", F.round("value", 6).alias("value"), F.round("phi", 6).alias("phi"))
+
+
+@query("l6_fitted_additivity", "fx_points fx_cells fx_soil", modeling.SAMPLE + f"""
+SELECT count(*) FILTER (WHERE {modeling.ALL_KNOWN}) AS rows, TRUE AS additive FROM sample""")
+def l6_fitted(t):
+    """Contributions and base value add up to the logit that the model itself computed."""
+    rows, terms, intercept, means = fitted(t)
+    phi = attr.linear_attribution(rows, terms, means, key="sl_no")
+    check = attr.additivity_check(rows, phi, attr.base_value(means, terms, intercept), terms, intercept, key="sl_no", own="logit")
+    return check.select("rows", (F.col("max_gap") < 1e-9).alias("additive"))

@@ -180,6 +180,15 @@ def k9(t):
     return _scored(t, models.fit_logistic)
 
 
+@query("k9_gradient", sql="SELECT unnest(['intercept', " + ", ".join(
+    [f"'num__{c}'" for c in NUMERIC] + [f"'cat__land_cover_{c}'" for c in CODES]) + "]) AS feature, TRUE AS at_optimum")
+def k9_gradient(t):
+    """The loss is flat at the fitted coefficients, so they are those of the ridge model."""
+    data = materialize(samples(t), "samples")
+    flat = models.penalised_gradient(data, models.fit_logistic(data, **MODEL), **MODEL)
+    return flat.select("feature", (F.abs("gradient") < 1e-4).alias("at_optimum"))
+
+
 @query("k10_fit_forest")
 def k10(t):
     return _scored(t, models.fit_forest)
