@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from hazardspark.operators import dataset, metrics, models, spatial
+from hazardspark.operators import attribution, dataset, metrics, models, spatial
 
 COLS = dict(numeric=("a", "b"), categorical=("kind",))
 
@@ -89,6 +89,25 @@ def test_ranking_names_every_feature(data, spark):
     assert [abs(r.value) for r in rows] == sorted((abs(r.value) for r in rows), reverse=True)
 
 
+def test_fitted_terms_are_optimal_and_add_up(data):
+    holed = data.withColumn("a", F.when(F.col("id") % 10 != 0, F.col("a")))
+    model = models.fit_logistic(holed, **COLS)
+    terms, intercept = models.linear_terms(model, **COLS)
+    assert list(terms) == ["num__a", "num__b", "cat__kind_10", "cat__kind_30"]
+    gradient = {r.feature: r.gradient for r in models.penalised_gradient(holed, model, **COLS).collect()}
+    assert set(gradient) == {"intercept", *terms}
+    assert max(abs(g) for g in gradient.values()) < 1e-4
+    rows = models.transformed(holed, model, **COLS)
+    assert rows.count() == 540
+    means = attribution.background(rows, list(terms))
+    phi = attribution.linear_attribution(rows, terms, means)
+    base = attribution.base_value(means, terms, intercept)
+    check = attribution.additivity_check(rows, phi, base, terms, intercept, own="logit").first()
+    assert check["rows"] == 540 and check.max_gap < 1e-9
+    off = rows.withColumn("logit", F.col("logit") + F.when(F.col("id") == 1, 1.0).otherwise(0.0))
+    assert attribution.additivity_check(off, phi, base, terms, intercept, own="logit").first().max_gap > 0.99
+
+
 def test_cross_validation_covers_all_folds(data):
     long = models.cross_validate(data, "block", "id", {"lr": models.fit_logistic}, k=3, metres=None, **COLS).persist()
     assert {(r.model, r.fold) for r in long.collect()} == {("lr", 0), ("lr", 1), ("lr", 2)}
