@@ -171,7 +171,12 @@ def near_duplicates(docs: DataFrame, limit: int = 2) -> DataFrame:
 def keep_one(docs: DataFrame, limit: int = 2) -> DataFrame:
     """One document of each component: its smallest id (repeated rows: one of them)."""
     prints = materialize(with_fingerprints(docs), "simhash")
-    keepers = components(prints, limit).select("keeper.doc_id", "keeper.text_hash").distinct()
+    return rows_of(docs, components(prints, limit))
+
+
+def rows_of(docs: DataFrame, components: DataFrame) -> DataFrame:
+    """The rows that the ``keeper`` (id, text hash) of some component names, once each."""
+    keepers = components.select("keeper.doc_id", "keeper.text_hash").distinct()
     keyed = docs.withColumn("_text_hash", F.xxhash64("text"))
     kept = keyed.join(
         keepers.select(F.col("doc_id").alias("_keeper"), F.col("text_hash").alias("_text_hash2")),
