@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardspark.llm import (
-    chat, langid, licenses, minhash, mixing, quality_rules, sentencepiece, sharding, simhash, toxicity,
+    chat, infill, langid, licenses, minhash, mixing, negatives, quality_rules, sentencepiece, sharding, simhash,
+    toxicity,
 )
 from hazardspark.llm.common import id_remainder, table
 
@@ -91,6 +92,17 @@ def op10_quality(spark: SparkSession, folder: str) -> DataFrame:
     return judged.select("doc_id", *[f"_stats.{c}" for c in quality_rules.BASE], "base_failed", "rule", "kept")
 
 
+@_query
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    return negatives.mine(table(spark, folder, "embeddings"))
+
+
+@_query
+def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
+    rows = infill.fill_in_middle(table(spark, folder, "documents"), digests=True)
+    return rows.withColumnsRenamed({"output": "output_sha256", "restored": "restored_sha256"}).drop("segments")
+
+
 # The checksum of a text, byte by byte: 0xEDB88320 is the reversed polynomial of CRC-32.
 _CRC_SQL = """
 bits AS (
@@ -176,3 +188,48 @@ found AS (
   FROM units u LEFT JOIN known k ON k.digest = sha256(u.canon) WHERE u.scope = 'text' OR u.canon <> '')
 SELECT * FROM found WHERE scope = 'text' OR license IS NOT NULL
 """
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS MATERIALIZED (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e, row_number() OVER () AS n
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+scored AS MATERIALIZED (
+  SELECT a.n AS anchor, a.vec_id AS anchor_id, a.label = v.label AS same, v.n, v.vec_id,
+    list_dot_product(a.e, v.e)::BIGINT AS score
+  FROM v a JOIN v ON a.n <> v.n WHERE a.vec_id % 100 = 0),
+positives AS (
+  SELECT * FROM scored WHERE same
+  QUALIFY row_number() OVER (PARTITION BY anchor ORDER BY score DESC, vec_id NULLS LAST, n) <= 5)
+SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score,
+  s.score AS negative_score,
+  row_number() OVER (PARTITION BY p.anchor, p.n ORDER BY s.score DESC, s.vec_id NULLS LAST, s.n)::INTEGER AS rank
+FROM positives p JOIN scored s ON s.anchor = p.anchor AND NOT s.same
+  AND 80 * p.score <= 100 * s.score AND s.score <= p.score
+QUALIFY rank <= 5
+"""
+
+_TOKEN = r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+"
+_DRAWS = ", ".join(f"('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), {8 * k + 1}, 8))::BIGINT AS h{k + 1}" for k in range(4))
+
+ORACLES["op12_infill"] = f"""
+WITH texts AS (
+  SELECT doc_id, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_TOKEN}') AS t, {_DRAWS}
+  FROM documents),
+cuts AS (
+  SELECT *, len(t) AS n, least(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS a, greatest(h1 % (len(t) + 1), h2 % (len(t) + 1)) AS b,
+    CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+      THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM texts),
+parts AS (
+  SELECT *, array_to_string(t[1:a], '') AS p, array_to_string(t[a + 1:b], '') AS m, array_to_string(t[b + 1:], '') AS s
+  FROM cuts)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars,
+  CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+    ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM parts
+"""
