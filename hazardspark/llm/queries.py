@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from hazardspark.llm import (
-    chat, infill, langid, licenses, minhash, mixing, negatives, quality_rules, sentencepiece, sharding, simhash,
-    toxicity,
+    chat, infill, langid, licenses, minhash, mixing, negatives, quality_rules, repeats, sentencepiece, sharding,
+    simhash, toxicity,
 )
 from hazardspark.llm.common import id_remainder, table
 
@@ -103,6 +103,11 @@ def op12_infill(spark: SparkSession, folder: str) -> DataFrame:
     return rows.withColumnsRenamed({"output": "output_sha256", "restored": "restored_sha256"}).drop("segments")
 
 
+@_query
+def op13_repeats(spark: SparkSession, folder: str) -> DataFrame:
+    return repeats.remove_repeats(table(spark, folder, "documents"), digests=True)
+
+
 # The checksum of a text, byte by byte: 0xEDB88320 is the reversed polynomial of CRC-32.
 _CRC_SQL = """
 bits AS (
