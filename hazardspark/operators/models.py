@@ -1,20 +1,23 @@
-"""Susceptibility models with pyspark.ml."""
+"""Susceptibility models: ridge regression and forests of pyspark.ml, boosting of this package."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Iterator
 from functools import reduce
+from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel, Transformer
-from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
+from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from hazardspark.functions.numeric import nan_to_null
-from hazardspark.operators import dataset, metrics
-from hazardspark.session import materialize, shared_dir
+from hazardspark.operators import boosting, dataset, ensembles, metrics
+from hazardspark.operators.boosting import Boosted
+from hazardspark.session import materialize
 
 # fixed values: conditioning factors
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
@@ -59,8 +62,7 @@ def _training_rows(df: DataFrame, label: str, numeric, categorical, parts: int |
     """The rows with all numeric features, cached for the many passes of a fit, and their count.
 
     Iterative fits run thousands of short stages; ``parts`` sets in how many partitions
-    the rows are kept (by default those they have). Forests and boosting draw their
-    samples per partition, so a fit repeats for the same partitions only.
+    the rows are kept (by default those they have). Forests draw their samples per partition, so a fit repeats for the same partitions only.
     """
     rows = df.where(complete(numeric) & F.col(label).isNotNull()).select(*numeric, *categorical, label)
     rows = (rows if parts is None else rows.coalesce(parts)).persist()
@@ -89,21 +91,39 @@ def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, leaf: int = 3,
     return _fit(rows, n, clf, numeric, categorical)
 
 
+def _boosting(rounds, rate, depth, subsample, columns, seed) -> boosting.Settings:
+    return boosting.Settings(rounds=rounds, rate=rate, depth=depth, subsample=subsample, columns=columns, seed=seed)
+
+
 def fit_boosted(df: DataFrame, rounds: int = 200, rate: float = 0.05, depth: int = 6, subsample: float = 0.8,
                 columns: float = 0.8, seed: int = 42, label: str = "label", numeric=NUMERIC,
-                categorical=CATEGORICAL, parts: int | None = None) -> PipelineModel:
-    rows, n = _training_rows(df, label, numeric, categorical, parts)
-    # Boosting extends the lineage every round; checkpoints cut it.
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(f"{shared_dir(df.sparkSession)}/rdd")
-    clf = GBTClassifier(labelCol=label, maxIter=rounds, stepSize=rate, maxDepth=depth, subsamplingRate=subsample,
-                        featureSubsetStrategy=str(columns), seed=seed)
-    return _fit(rows, n, clf, numeric, categorical)
+                categorical=CATEGORICAL, key: str | None = None) -> Boosted:
+    """Second-order boosting (:mod:`hazardspark.operators.boosting`); ``key`` tells rows apart for sampling."""
+    settings = _boosting(rounds, rate, depth, subsample, columns, seed)
+    return boosting.fit(df, label=label, numeric=numeric, categorical=categorical, key=key, settings=settings)
+
+
+def fit_boosted_many(df: DataFrame, fits: Column, rounds: int = 200, rate: float = 0.05, depth: int = 6, subsample: float = 0.8,
+                     columns: float = 0.8, seed: int = 42, label: str = "label", numeric=NUMERIC,
+                     categorical=CATEGORICAL, key: str | None = None) -> dict[int, Boosted]:
+    """One boosted model per number in ``fits`` (an array column), grown side by side in the same jobs."""
+    settings = _boosting(rounds, rate, depth, subsample, columns, seed)
+    return boosting.fit_many(df, fits, label=label, numeric=numeric, categorical=categorical, key=key, settings=settings)
+
+
+class Fit(NamedTuple):
+    """A way to fit: ``one(train, **options)``, and ``many(rows, fits, **options)`` where a model can
+    be fitted for all folds or seeds at once."""
 
+    one: Callable
+    options: dict = {}
+    many: Callable | None = None
 
-def score(df: DataFrame, model: PipelineModel, prob: str = "prob") -> DataFrame:
+
+def score(df: DataFrame, model: PipelineModel | Boosted, prob: str = "prob") -> DataFrame:
     """Add the probability of class 1; NULL for a row without some numeric feature."""
+    if isinstance(model, Boosted):
+        return boosting.score(df, model, prob)
     known = complete(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
     scored = model.transform(df).withColumn(prob, F.when(known, vector_to_array("probability")[1]))
     return scored.select(*df.columns, prob)
@@ -149,27 +169,56 @@ def penalised_gradient(df: DataFrame, model: PipelineModel, label: str = "label"
     return means.select(F.inline(F.array(*entries)))
 
 
-def feature_ranking(spark: SparkSession, model: PipelineModel, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
+def walked_probability(df: DataFrame, model: PipelineModel, prob: str = "walked") -> DataFrame:
+    """Add the probability of a fitted forest by walking its node table, beside :func:`score`."""
+    nodes, forest = ensembles.forest_nodes(model, df.sparkSession), model.stages[-1]
+    known = complete(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
+    ready = model.transform(df).withColumn("_in", F.when(known, vector_to_array("features")))
+    walked = ensembles.leaf_values(ready, nodes, F.col("_in"), forest.getMaxDepth(), "_leaves")
+    mean = F.aggregate("_leaves", F.lit(0.0), lambda s, v: s + v) / F.lit(float(forest.getNumTrees))
+    return walked.withColumn(prob, mean).select(*df.columns, prob)
+
+
+def feature_ranking(spark: SparkSession, model: PipelineModel | Boosted, numeric=NUMERIC, categorical=CATEGORICAL) -> DataFrame:
     """Coefficients or importances by absolute value; one row per model feature."""
+    if isinstance(model, Boosted):
+        nodes = spark.createDataFrame(model.nodes, ensembles.NODES)
+        ranked = ensembles.importances(nodes, model.names, per_tree=False, weighted=False)
+        return ranked.orderBy(F.desc("value"), "feature")
     last = model.stages[-1]
     values = (last.coefficients if hasattr(last, "coefficients") else last.featureImportances).toArray()
     rows = [(n, float(v)) for n, v in zip(feature_names(model, numeric, categorical), values)]
     return spark.createDataFrame(rows, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
 
 
+def _fitted(fits: dict, splits: DataFrame, numbers: list[int], **kw) -> Iterator[tuple[str, int, object]]:
+    """Each model on the training rows of each split; ``splits`` has them all, by ``_split``."""
+    train = splits.where(~F.col("is_test"))
+    for name, fit in fits.items():
+        fit = fit if isinstance(fit, Fit) else Fit(fit)
+        if fit.many is not None:
+            for number, model in fit.many(train, F.array("_split"), **kw, **fit.options).items():
+                yield name, number, model
+        else:
+            for number in numbers:
+                yield name, number, fit.one(train.where(F.col("_split") == number), **kw, **fit.options)
+
+
+def _stored_splits(splits: list[DataFrame]) -> DataFrame:
+    """All splits in one table, each written once for all models."""
+    numbered = [materialize(s.withColumn("_split", F.lit(i)), "split") for i, s in enumerate(splits)]
+    return reduce(DataFrame.unionByName, numbered)
+
+
 def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fits: dict, metres: float | None = 500.0,
                    **kw) -> DataFrame:
     """ROC-AUC of every model for a fresh hold-out per seed."""
+    splits = [dataset.group_holdout(df, group, seed=seed) for seed in seeds]
+    splits = _stored_splits(splits if metres is None else [dataset.buffered_train(s, key, metres) for s in splits])
     parts = []
-    for seed in seeds:
-        split = dataset.group_holdout(df, group, seed=seed)
-        if metres is not None:
-            split = dataset.buffered_train(split, key, metres)
-        split = materialize(split, "split")
-        for name, fit in fits.items():
-            model = fit(split.where(~F.col("is_test")), **kw)
-            auc = metrics.roc_auc(score(split.where("is_test"), model))
-            parts.append(auc.select(F.lit(name).alias("model"), F.lit(seed).alias("seed"), "roc_auc"))
+    for name, i, model in _fitted(fits, splits, list(range(len(seeds))), **kw):
+        auc = metrics.roc_auc(score(splits.where((F.col("_split") == i) & F.col("is_test")), model))
+        parts.append(auc.select(F.lit(name).alias("model"), F.lit(seeds[i]).alias("seed"), "roc_auc"))
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -177,14 +226,10 @@ def cross_validate(df: DataFrame, group: str, key: str, fits: dict, k: int = 5,
                    **kw) -> DataFrame:
     """Metrics per model and fold of grouped cross-validation, in long form."""
     folded = materialize(dataset.group_kfold(df, group, k), "folds")
+    splits = [folded.withColumn("is_test", F.col("fold") == fold) for fold in range(k)]
+    splits = _stored_splits(splits if metres is None else [dataset.buffered_train(s, key, metres) for s in splits])
     parts = []
-    for fold in range(k):
-        split = folded.withColumn("is_test", F.col("fold") == fold)
-        if metres is not None:
-            split = dataset.buffered_train(split, key, metres)
-            split = materialize(split, "split")
-        for name, fit in fits.items():
-            scored = score(split.where("is_test"), fit(split.where(~F.col("is_test")), **kw))
-            parts.append(metrics.report(scored).select(
-                F.lit(name).alias("model"), F.lit(fold).alias("fold"), "metric", "value"))
+    for name, fold, model in _fitted(fits, splits, list(range(k)), **kw):
+        scored = score(splits.where((F.col("_split") == fold) & F.col("is_test")), model)
+        parts.append(metrics.report(scored).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "metric", "value"))
     return reduce(DataFrame.unionByName, parts)

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from hazardspark.functions.numeric import nan_to_null
-from hazardspark.operators import dataset, grid, metrics, models, spatial, terrain
+from hazardspark.operators import boosting, dataset, ensembles, grid, metrics, models, spatial, terrain
 from hazardspark.plans.grid import WIDE, coarse
 from hazardspark.plans.registry import query
 from hazardspark.plans.spatial import COL, DM, ROW, STACK, candidates, stacked
@@ -121,8 +123,12 @@ def k7(t):
 
 NUMERIC = ("z", "slope", "aspect", "curvature", "clay", "sand", "silt", "bulk_density")
 MODEL = dict(numeric=NUMERIC, categorical=("land_cover",))
-# Fitted once per fold or seed; the operators take any number of models.
-FITS = {"logistic": models.fit_logistic}
+# fixed values: trees and rounds of the validation runs
+FITS = {
+    "logistic": models.Fit(models.fit_logistic),
+    "forest": models.Fit(models.fit_forest, {"trees": 100}),
+    "boosted": models.Fit(models.fit_boosted, {"rounds": 100, "key": "sl_no"}, models.fit_boosted_many),
+}
 CODES = (10, 30, 50, 60, 80)
 
 
@@ -139,8 +145,9 @@ def samples(t):
 
 def holdout(t):
     """Training rows at least 500 m from every test row, and the test rows."""
-    data = materialize(dataset.group_holdout(samples(t), "spatial_block"), "holdout")
-    data = dataset.buffered_train(data, "sl_no")
+    order = F.md5(F.concat(F.lit("42|"), F.col("spatial_block")))
+    data = materialize(dataset.group_holdout(samples(t), "spatial_block", shuffle=order), "holdout")
+    data = materialize(dataset.buffered_train(data, "sl_no"), "buffered")
     return data.where(~F.col("is_test")).drop("is_test"), data.where("is_test").drop("is_test")
 
 
@@ -149,6 +156,11 @@ def _scored(t, fit, **kw):
     return models.score(test, fit(train, **MODEL, **kw)).select("sl_no", "label", F.round("prob", 6).alias("prob"))
 
 
+def _same(one, other):
+    """True where both are the same up to rounding, NULL where both are missing."""
+    return F.when(one.isNull() & other.isNull(), F.lit(None)).otherwise(F.coalesce(F.abs(one - other) < 1e-9, F.lit(False)))
+
+
 ALL_KNOWN = " AND ".join(f"{c} IS NOT NULL" for c in NUMERIC)
 SAMPLE = STENCIL + f"""
 , sample AS (SELECT p.sl_no, k.z, k.slope, k.aspect, k.curvature, m.land_cover, clay, sand, silt, bulk_density
@@ -189,20 +201,71 @@ def k9_gradient(t):
     return flat.select("feature", (F.abs("gradient") < 1e-4).alias("at_optimum"))
 
 
-@query("k10_fit_forest")
+HELD_OUT = SAMPLE + SPLIT + f"""
+SELECT split.sl_no, label, {ALL_KNOWN} AS scored, CASE WHEN {ALL_KNOWN} THEN TRUE END AS same_prob
+FROM split JOIN sample ON sample.sl_no = split.sl_no WHERE is_test"""
+
+
+def _checked(df, own, walked):
+    return df.select("sl_no", "label", F.col(own).isNotNull().alias("scored"), _same(F.col(own), F.col(walked)).alias("same_prob"))
+
+
+@query("k10_fit_forest", "fx_points fx_cells fx_soil", HELD_OUT)
 def k10(t):
-    return _scored(t, models.fit_forest)
+    """Held-out rows scored by the forest and by walking its nodes."""
+    train, test = holdout(t)
+    forest = models.fit_forest(train, **MODEL)
+    return _checked(models.walked_probability(models.score(test, forest), forest), "prob", "walked")
 
 
-@query("k11_fit_boosted")
-def k11(t):
-    return _scored(t, models.fit_boosted)
+def _boosted(t):
+    """Boosting on the training part, and the held-out part."""
+    train, test = holdout(t)
+    return models.fit_boosted(train, key="sl_no", **MODEL), train, test
 
 
-@query("k12_score")
+@query("k11_fit_boosted", "fx_points fx_cells fx_soil", HELD_OUT)
+def k11(t):
+    """Held-out rows scored by walking the nodes and by the bins that the fit itself uses."""
+    model, _, test = _boosted(t)
+    own = boosting.binned_margins(test, model, "sl_no").withColumn("own", 1 / (1 + F.exp(-F.col("margin"))))
+    return _checked(models.score(test, model).join(own, "sl_no", "left"), "own", "prob")
+
+
+@query("k11_best_splits", "", "SELECT unnest([0, 30]) AS tree, TRUE AS all_best, TRUE AS loss_falls")
+def k11_splits(t):
+    """Every split of a tree has the best gain of its histogram, and the loss falls in every round."""
+    train, _ = holdout(t)
+    settings = boosting.Settings(rounds=31)
+    model = boosting.fit(train, key="sl_no", settings=settings, **MODEL)
+    falls = all(b < a for a, b in zip(model.losses, model.losses[1:]))
+    out = None
+    for tree in (0, 30):
+        audit = boosting.split_audit(train, model, tree, "label", "sl_no", settings)
+        best = F.abs(F.col("gain") - F.col("best")) <= 1e-6 * F.col("best")
+        part = audit.agg(F.coalesce(F.bool_and(best), F.lit(False)).alias("all_best")).select(
+            F.lit(tree).alias("tree"), "all_best", F.lit(falls).alias("loss_falls"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@query("k12_score", "fx_points fx_cells fx_soil", SAMPLE + f"""
+SELECT sl_no, m.model, {ALL_KNOWN} AS scored, CASE WHEN {ALL_KNOWN} THEN TRUE END AS same_prob
+FROM sample CROSS JOIN (SELECT unnest(['logistic', 'forest']) AS model) m""")
 def k12(t):
+    """All samples by the fitted models, beside their formula and their nodes."""
     data = materialize(samples(t), "samples")
-    return models.score(data, models.fit_logistic(data, **MODEL)).select("sl_no", "prob")
+    linear, forest = models.fit_logistic(data, **MODEL), models.fit_forest(data, trees=50, **MODEL)
+    terms, intercept = models.linear_terms(linear, **MODEL)
+    values = models.transformed(data, linear, **MODEL)
+    logit = reduce(lambda s, c: s + F.col(c[0]) * F.lit(c[1]), terms.items(), F.lit(intercept))
+    formula = values.select("sl_no", (1 / (1 + F.exp(-logit))).alias("walked"))
+    both = {"logistic": models.score(data, linear).join(formula, "sl_no", "left"),
+            "forest": models.walked_probability(models.score(data, forest), forest)}
+    parts = [
+        df.select("sl_no", F.lit(name).alias("model"), F.col("prob").isNotNull().alias("scored"),
+                  _same(F.col("prob"), F.col("walked")).alias("same_prob")) for name, df in both.items()]
+    return parts[0].unionByName(parts[1])
 
 
 COUNTS = """count(*) FILTER (WHERE prob >= {t} AND label = 1) AS tp, count(*) FILTER (WHERE prob >= {t} AND label = 0) AS fp,
@@ -327,10 +390,32 @@ def k22(t):
     return out.withColumn("roc_auc", F.round("roc_auc", 4))
 
 
-@query("k23_feature_ranking")
+@query("k23_feature_ranking", "", "SELECT m.model, f.feature, TRUE AS same_value FROM (SELECT unnest(["
+       + ", ".join([f"'{c}'" for c in NUMERIC] + [f"'land_cover_{c}'" for c in CODES])
+       + "]) AS feature) f CROSS JOIN (SELECT unnest(['logistic', 'forest', 'boosted']) AS model) m")
 def k23(t):
+    """The ranking of each model beside its own figures, summed up from nodes or taken from its formula."""
     data = materialize(samples(t), "samples")
-    return models.feature_ranking(t.spark, models.fit_logistic(data, **MODEL), **MODEL).withColumn("value", F.round("value", 4))
+    linear, forest = models.fit_logistic(data, **MODEL), models.fit_forest(data, trees=50, **MODEL)
+    boosted = models.fit_boosted(data, rounds=30, key="sl_no", **MODEL)
+    terms = [(n.split("__", 1)[1], w) for n, w in models.linear_terms(linear, **MODEL)[0].items()]
+    gains = {}
+    for _, _, f, _, _, _, gain, _, _ in boosted.nodes:
+        if f >= 0:
+            gains.setdefault(boosted.names[f], []).append(gain)
+    means = {n: sum(gains[n]) / len(gains[n]) if n in gains else 0.0 for n in boosted.names}
+    shares = [(n, m / sum(means.values())) for n, m in means.items()]
+    others = {
+        "logistic": (linear, t.spark.createDataFrame(terms, "feature string, own double")),
+        "forest": (forest, ensembles.importances(
+            ensembles.forest_nodes(forest, t.spark), models.feature_names(forest, **MODEL)).withColumnRenamed("value", "own")),
+        "boosted": (boosted, t.spark.createDataFrame(shares, "feature string, own double")),
+    }
+    parts = [
+        models.feature_ranking(t.spark, model, **MODEL).join(own, "feature", "full").select(
+            F.lit(name).alias("model"), "feature", _same(F.col("value"), F.col("own")).alias("same_value"))
+        for name, (model, own) in others.items()]
+    return reduce(lambda a, b: a.unionByName(b), parts)
 
 
 @query("k24_select_best", "fx_predictions", FOLDS + """
@@ -342,7 +427,7 @@ def k24(t):
 
 @query("k7_cross_validate")
 def k7_validate(t):
-    """Grouped cross-validation of the linear model with a 500 m buffer, summarised per metric."""
+    """Grouped cross-validation of the three models with a 500 m buffer, summarised per metric."""
     scores = models.cross_validate(materialize(samples(t), "samples"), "spatial_block", "sl_no", FITS, **MODEL)
     return metrics.cv_summary(scores)
 

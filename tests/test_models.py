@@ -7,7 +7,7 @@ import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from hazardspark.operators import attribution, dataset, metrics, models, spatial
+from hazardspark.operators import attribution, boosting, dataset, ensembles, metrics, models, spatial
 
 COLS = dict(numeric=("a", "b"), categorical=("kind",))
 
@@ -148,3 +148,78 @@ def test_buffer_separates_train_from_test(spark):
     train = [(r.x, r.y) for r in out if not r.is_test]
     assert len(test) == split.where("is_test").count() and train
     assert min(math.dist(a, b) for a in train for b in test) >= 900.0
+
+
+SMALL = boosting.Settings(rounds=6, depth=3)
+
+
+@pytest.fixture(scope="module")
+def boosted(data):
+    return boosting.fit(data, key="id", settings=SMALL, **COLS)
+
+
+def test_boosting_does_not_depend_on_partitions(data, boosted):
+    again = boosting.fit(data.repartition(13), key="id", settings=SMALL, **COLS)
+    assert (again.nodes, again.losses) == (boosted.nodes, boosted.losses)
+    assert len(boosted.losses) == 7 and all(b < a for a, b in zip(boosted.losses, boosted.losses[1:]))
+    other = boosting.fit(data, key="id", settings=boosting.Settings(rounds=2, depth=3, seed=1), **COLS)
+    assert other.nodes != [n for n in boosted.nodes if n[0] < 2]
+
+
+@pytest.mark.parametrize("tree", [0, 5])
+def test_every_split_is_the_best_of_its_histogram(data, boosted, tree):
+    audit = boosting.split_audit(data, boosted, tree, "label", "id", SMALL).collect()
+    assert {r.node for r in audit} == {n[1] for n in boosted.nodes if n[0] == tree and n[2] >= 0}
+    assert all(r.gain == pytest.approx(r.best, rel=1e-9) for r in audit)
+
+
+def test_one_tree_by_hand(spark):
+    """Two values, no sampling: one cut, leaves from gradient and curvature of the share 1/2."""
+    df = spark.createDataFrame([(i, float(i >= 10), int(i >= 10)) for i in range(20)], "id long, v double, label int")
+    one = boosting.Settings(rounds=1, depth=3, rate=0.1, subsample=1.0, columns=1.0)
+    model = boosting.fit(df, key="id", numeric=("v",), settings=one)
+    (split,) = [n for n in model.nodes if n[2] >= 0]
+    g, h = 10 * 0.5, 10 * 0.25
+    assert split[6] == pytest.approx((g * g / (h + 1) * 2) / 2) and 0 <= split[3] < 1
+    assert sorted(n[8] for n in model.nodes if n[2] < 0) == pytest.approx([-0.1 * g / (h + 1), 0.1 * g / (h + 1)])
+
+
+def test_walk_equals_the_models_own(data, boosted):
+    own = boosting.binned_margins(data, boosted, "id")
+    both = boosting.margins(data, boosted).join(own.withColumnRenamed("margin", "own"), "id")
+    assert both.where(F.abs(F.col("margin") - F.col("own")) < 1e-9).count() == 600
+    forest = models.fit_forest(data, trees=20, **COLS)
+    walked = models.walked_probability(models.score(data, forest), forest)
+    assert walked.where(F.abs(F.col("prob") - F.col("walked")) < 1e-9).count() == 600
+    ranked = {r.feature: r.value for r in models.feature_ranking(data.sparkSession, forest, **COLS).collect()}
+    nodes = ensembles.forest_nodes(forest, data.sparkSession)
+    summed = ensembles.importances(nodes, models.feature_names(forest, **COLS)).collect()
+    assert {r.feature: r.value for r in summed} == pytest.approx(ranked)
+
+
+def test_fits_side_by_side_are_the_fits_alone(data, monkeypatch):
+    monkeypatch.setattr(boosting, "STORE", 2)
+    short = boosting.Settings(rounds=5, depth=2)
+    both = boosting.fit_many(data, F.when(F.col("id") % 2 == 0, F.array(F.lit(3), F.lit(8))).otherwise(F.array(F.lit(8))),
+                             key="id", settings=short, **COLS)
+    alone = boosting.fit(data, key="id", settings=short, **COLS)
+    assert set(both) == {3, 8} and both[8].nodes == alone.nodes and both[3].nodes != alone.nodes
+
+
+def test_boosting_leaves_out_incomplete_rows(data, spark):
+    holed = data.withColumn("a", F.when(F.col("id") % 10 != 0, F.col("a"))).withColumn(
+        "b", F.when(F.col("id") % 10 == 1, float("nan")).otherwise(F.col("b")))
+    scored = models.score(holed, models.fit_boosted(holed, rounds=2, depth=2, key="id", **COLS))
+    assert {r.id % 10 for r in scored.where("prob IS NULL").select("id").collect()} == {0, 1}
+    with pytest.raises(ValueError):
+        boosting.fit(data.where("false"), **COLS)
+    same = spark.createDataFrame([(i, 1.0, i % 2) for i in range(9)], "id long, v double, label int")
+    flat = boosting.fit(same, key="id", numeric=("v",), settings=SMALL)  # no cut at all
+    assert all(n[2] == -1 for n in flat.nodes)
+
+
+def test_validation_takes_many_models(data):
+    fits = {"lr": models.fit_logistic, "gb": models.Fit(models.fit_boosted, {"rounds": 3, "key": "id"}, models.fit_boosted_many)}
+    rows = models.seed_stability(data, "block", "id", [1, 2], fits, metres=None, **COLS).collect()
+    assert sorted((r.model, r.seed) for r in rows) == [("gb", 1), ("gb", 2), ("lr", 1), ("lr", 2)]
+    assert all(r.roc_auc > 0.8 for r in rows)
