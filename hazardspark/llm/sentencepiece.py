@@ -180,7 +180,7 @@ class WordTable:
     """
 
     LENGTHS = (8, 16, 32, 64)
-    ROWS = 4096  # words of one step
+    CHARS = 1 << 15  # characters of one step, padding included
     _BASE = np.uint64(0x9E3779B97F4A7C15)
 
     def __init__(self, vocabulary: Vocabulary, viterbi: StreamingViterbi):
@@ -236,8 +236,9 @@ class WordTable:
             else:
                 groups[fits].append(k)
         for size, members in groups.items():
-            for at in range(0, len(members), self.ROWS):
-                part = members[at : at + self.ROWS]
+            rows = self.CHARS // size
+            for at in range(0, len(members), rows):
+                part = members[at : at + rows]
                 for k, ids in zip(part, self._step([words[k] for k in part], size)):
                     out[k] = ids
         return out
