@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from hazardspark.functions.numeric import planar_distance
 from hazardspark.operators.ordering import top_per_key, with_position
+from hazardspark.operators.selection import quantile
 from hazardspark.session import discard, materialize
 
 _FANOUT_BITS = 2  # a tile has 4 x 4 children
@@ -214,19 +215,31 @@ def nearest_distance(df: DataFrame, refs: DataFrame, ref_id: str, x: str = "x",
 
 
 def distance_stats(with_distance: DataFrame, below: float) -> DataFrame:
-    """min, median, mean of ``distance`` and how many are below a threshold."""
-    return with_distance.agg(
-        F.count("distance").alias("n"), F.min("distance").alias("min_distance"),
-        F.percentile("distance", 0.5).alias("median_distance"), F.avg("distance").alias("mean_distance"),
-        F.count_if(F.col("distance") < F.lit(below)).alias("below"))
+    """min, median, mean of ``distance`` and how many are below a threshold.
+
+    The median is selected in rounds over the written distances; no task holds them all.
+    """
+    stored = materialize(with_distance.select("distance"), "distances")
+    median = F.lit(quantile(stored, "distance")).cast("double")
+    return stored.agg(
+        F.count("distance").alias("n"), F.min("distance").alias("min_distance"), F.avg("distance").alias("mean_distance"),
+        F.count_if(F.col("distance") < F.lit(below)).alias("below")
+    ).select("n", "min_distance", median.alias("median_distance"), "mean_distance", "below")
 
 
 def nearest_label(df: DataFrame, refs: DataFrame, label: str, ref_id: str, x: str = "longitude",
                   y: str = "latitude") -> DataFrame:
-    """Add the label of the nearest reference row (lowest id on a tie)."""
+    """Add the label of the nearest reference row (lowest id on a tie).
+
+    Rows that share an id count once, with the smallest label among those at the spot found.
+    """
     hit = nearest(df, refs, ref_id, 1, x, y).select(x, y, ref_id)
-    named = hit.join(refs.select(ref_id, label), ref_id).drop(ref_id)
-    return df.join(named, [x, y], "left")
+    spots = refs.select(F.col(ref_id), F.col(label), F.col(x).alias("_x"), F.col(y).alias("_y"))
+    named = hit.join(spots, ref_id)
+    # of the rows with that id, the nearest one; a label of its own kind breaks a tie
+    gap = planar_distance(F.col(x), F.col(y), F.col("_x"), F.col("_y"))
+    one = named.groupBy(x, y).agg(F.min(F.struct(gap.alias("_gap"), F.col(label))).alias("_one"))
+    return df.join(one.select(x, y, F.col("_one")[label].alias(label)), [x, y], "left")
 
 
 def idw(df: DataFrame, refs: DataFrame, value: str, ref_id: str, k: int = 5, x: str = "longitude",

@@ -96,3 +96,31 @@ def test_thinning_rules_on_nulls(spark):
     few = {r.id for r in neighbours.thin_by_spacing(df.where("id < 8"), 1.5, "rank", "id", 3).collect()}
     assert few == set(first)  # whatever the size of the table
     assert neighbours.thin_by_spacing(df.where("x is null"), 1.5, "rank", "id").count() == 0
+
+
+def test_selection_is_exact_with_outliers_and_ties(spark):
+    import random
+
+    from hazardspark.operators import selection
+
+    rnd = random.Random(3)
+    values = [rnd.gauss(0, 1) for _ in range(3001)] + [7.5] * 500 + [1e300, -1e300, 5e-324, 0.0, 1.7e308, -1.7e308]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "v double")
+    ranks = [0, 1, 17, 1753, 3000, 3400, len(values) - 1]
+    assert selection.order_statistics(df, "v", ranks) == [sorted(values)[r] for r in ranks]
+    assert selection.quantile(spark.createDataFrame([(1.0,), (2.0,), (5.0,), (9.0,)], "v double"), "v") == 3.5
+    assert selection.quantile(df.where("false"), "v") is None
+
+
+def test_distance_stats_hold_no_list_of_values(spark):
+    df = spark.range(1001).selectExpr("cast(id as double) as distance")
+    out = neighbours.distance_stats(df, 10.0)
+    assert out.first().asDict() == {"n": 1001, "min_distance": 0.0, "median_distance": 500.0, "mean_distance": 500.0, "below": 10}
+    assert "percentile" not in out._jdf.queryExecution().toString()
+
+
+def test_label_of_a_repeated_reference_id_adds_no_row(spark):
+    refs = spark.createDataFrame([(1, 0.0, 0.0, "near"), (1, 5.0, 5.0, "far"), (2, 9.0, 9.0, "b")], "id int, x double, y double, label string")
+    df = spark.createDataFrame([(0.1, 0.0), (8.0, 9.0), (5.0, 4.9)], "x double, y double")
+    out = neighbours.nearest_label(df, refs, "label", "id", "x", "y").collect()
+    assert sorted((r.x, r.label) for r in out) == [(0.1, "near"), (5.0, "far"), (8.0, "b")]
