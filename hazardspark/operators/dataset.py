@@ -96,25 +96,63 @@ def buffered_train(df: DataFrame, key: str, metres: float = 500.0) -> DataFrame:
     return train.unionByName(test)
 
 
+_DEAL = 1 << 16  # groups dealt to a fold by one row of the plan
+
+
+def _shares(loads: list[int], weight: int, count: int) -> list[int]:
+    """How many of ``count`` groups of one size each fold gets when each goes to the lightest
+    fold (the first of equals)."""
+
+    def dealt(level: int) -> list[int]:
+        """Groups that start a fold's load at ``level`` or lower."""
+        return [max(0, (level - load) // weight + 1) for load in loads]
+
+    low, high = min(loads) - 1, max(loads) + weight * count
+    while high - low > 1:  # the highest level at which not all groups are dealt
+        middle = (low + high) // 2
+        low, high = (middle, high) if sum(dealt(middle)) < count else (low, middle)
+    out = dealt(low)
+    for fold, load in enumerate(loads):
+        if sum(out) < count and load <= low + 1 and (low + 1 - load) % weight == 0:
+            out[fold] += 1
+    return out
+
+
+def _turn(fold: Column, j: Column, weight: Column, loads: Column) -> Column:
+    """Place, among the groups of one size, of the ``j``-th group that a fold gets: all
+    groups of other folds that start at a lower load, or at an equal one in an earlier fold."""
+    level = F.element_at(loads, fold + 1) + j * weight
+
+    def before(load: Column, other: Column) -> Column:
+        gap = level - load
+        equal = F.when((gap % weight == 0) & (other < fold), F.lit(1)).otherwise(F.lit(0))
+        below = F.when(gap > 0, F.floor((gap - 1) / weight) + 1).otherwise(F.lit(0))
+        return F.when(other == fold, j).when(gap < 0, F.lit(0)).otherwise(below + equal).cast("long")
+
+    return F.aggregate(F.transform(loads, before), F.lit(0).cast("long"), lambda s, v: s + v)
+
+
 def group_kfold(df: DataFrame, group: str, k: int = 5) -> DataFrame:
-    """Add ``fold``: groups by falling size, each to the lightest fold so far.
+    """Add ``fold``: groups by falling size (then by key), each to the lightest fold so far.
 
-    The rule is sequential over groups, so the table of group sizes (one row per
-    block, at most n x n blocks) is folded in one expression; the data itself is
-    only joined to the result.
+    Groups of one size are dealt as one step: how many each fold gets follows from the
+    loads before. So the driver sees one row per distinct size (at most about the square
+    root of twice the rows), and the groups are numbered in ranges and joined by place.
     """
     sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("_n"))
-    listed = sizes.agg(F.array_sort(F.collect_list(F.struct((-F.col("_n")).alias("_w"), F.col(group).alias("_g")))).alias("_l"))
-    kind = df.schema[group].dataType.simpleString()
-    start = F.struct(
-        F.array_repeat(F.lit(0).cast("bigint"), k).alias("loads"),
-        F.array().cast(f"array<struct<_g:{kind},fold:int>>").alias("out"))
-
-    def put(acc, item):
-        best = (F.array_position(acc["loads"], F.array_min(acc["loads"])) - 1).cast("int")
-        loads = F.transform(acc["loads"], lambda v, i: F.when(i == best, v - item["_w"]).otherwise(v))
-        entry = F.struct(item["_g"].alias("_g"), best.alias("fold"))
-        return F.struct(loads.alias("loads"), F.concat(acc["out"], F.array(entry)).alias("out"))
-
-    folds = listed.select(F.explode(F.aggregate("_l", start, put)["out"]).alias("_e"))
-    return df.join(folds.select(F.col("_e._g").alias(group), F.col("_e.fold").alias("fold")), group)
+    placed = with_position(sizes, [F.desc("_n"), F.col(group)], "_at")
+    classes = sorted(((r["_n"], r["m"]) for r in placed.groupBy("_n").agg(F.count(F.lit(1)).alias("m")).collect()), reverse=True)
+    loads, start, plan = [0] * k, 0, []
+    for weight, count in classes:
+        shares = _shares(loads, weight, count)
+        plan += [(start, weight, fold, share, list(loads)) for fold, share in enumerate(shares) if share]
+        loads = [load + share * weight for load, share in zip(loads, shares)]
+        start += count
+    steps = df.sparkSession.createDataFrame(plan, "start long, weight long, fold int, share long, loads array<long>")
+    dealt = steps.withColumn("_piece", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("share") - 1) / _DEAL))))
+    first = F.col("_piece") * _DEAL
+    dealt = dealt.repartition("start", "fold", "_piece").withColumn(
+        "j", F.explode(F.sequence(first, F.least(first + (_DEAL - 1), F.col("share") - 1))))
+    turn = _turn(F.col("fold"), F.col("j"), F.col("weight"), F.col("loads"))
+    folds = dealt.select((F.col("start") + turn).alias("_at"), "fold")
+    return df.join(placed.join(folds, "_at").select(group, "fold"), group)

@@ -285,3 +285,19 @@ def test_enrichment_and_bounds(spark):
     pts = spark.createDataFrame([(0.0, 1.0), (0.5, 2.0), (None, 0.5)], "latitude double, longitude double")
     r = spatial.coverage(pts, box).first()
     assert (r.points, r.inside, r.outside) == (3, 1, 2) and math.isclose(r.pct_inside, 100 / 3)
+
+
+def test_folds_are_those_of_the_rule_one_group_at_a_time(spark):
+    import random
+
+    rnd = random.Random(6)
+    for k, counts in ((3, [1] * 40), (5, [rnd.choice([1, 1, 1, 2, 3, 50, 7]) for _ in range(200)]), (4, [9, 2]), (2, [1000] + [1] * 700)):
+        rows = [(g, i) for g, n in enumerate(counts) for i in range(n)]
+        out = dataset.group_kfold(spark.createDataFrame(rows, "g int, i int"), "g", k)
+        assert "collect_list" not in out._jdf.queryExecution().toString()
+        loads, want = [0] * k, {}
+        for n, g in sorted(((n, g) for g, n in enumerate(counts)), key=lambda p: (-p[0], p[1])):
+            want[g] = loads.index(min(loads))
+            loads[want[g]] += n
+        got = out.collect()
+        assert len(got) == len(rows) and {r.g: r.fold for r in got} == want
