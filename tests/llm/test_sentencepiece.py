@@ -105,3 +105,10 @@ def test_cache_is_bounded(encoder, monkeypatch):
         text = " ".join(f"w{k}{i}" for i in range(20)) + " " + "long" * 40
         assert np.array_equal(fresh.encode(text), encoder.encode(text))
         assert len(fresh.known) <= 50
+
+
+def test_table_equals_streaming_on_all_words_of_the_table(encoder):
+    texts = [sp.MARK + r[1].replace(" ", sp.MARK) for r in local_rows("documents") if r[1]]
+    words = sorted(w for w in set().union(*map(encoder.words.findall, texts)) if len(w) <= sp.CACHED_LENGTH)
+    assert len(words) > 3000
+    assert encoder.table.encode(words) == [encoder.table._slow(w) for w in words]
