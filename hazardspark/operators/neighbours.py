@@ -44,6 +44,11 @@ def _reach(v: Column, lo: Column, hi: Column) -> Column:
     return F.greatest(F.abs(v - lo), F.abs(v - hi))
 
 
+def _placed(c: str) -> Column:
+    """True for a finite coordinate; NULL, NaN and infinity have no place."""
+    return F.col(c).isNotNull() & (F.abs(F.col(c)) < F.lit(float("inf")))
+
+
 def _max_occupancy(points: DataFrame, x0: float, y0: float, edge: float) -> int:
     counts = points.groupBy(_tile(F.col("rx"), x0, edge), _tile(F.col("ry"), y0, edge)).count()
     return counts.agg(F.max("count")).first()[0]
@@ -54,13 +59,12 @@ def nearest(queries: DataFrame, refs: DataFrame, ref_id: str, k: int = 1, x: str
     """The k nearest reference rows of every distinct query point.
 
     Returns ``x, y, <ref_id>, distance, neighbour`` (1 = nearest), ordered by
-    (distance, id). With ``radius`` only rows closer than it are returned.
+    (distance, id). With ``radius`` only rows closer than it are returned. Rows without
+    a finite place are neither queries nor references.
     """
     ids = refs.schema[ref_id].dataType.simpleString()
-    q = queries.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where(
-        F.col("qx").isNotNull() & F.col("qy").isNotNull()).distinct()
-    r = refs.select(F.col(x).alias("rx"), F.col(y).alias("ry"), F.col(ref_id).alias("rid")).where(
-        F.col("rx").isNotNull() & F.col("ry").isNotNull())
+    q = queries.select(F.col(x).alias("qx"), F.col(y).alias("qy")).where(_placed("qx") & _placed("qy")).distinct()
+    r = refs.select(F.col(x).alias("rx"), F.col(y).alias("ry"), F.col(ref_id).alias("rid")).where(_placed("rx") & _placed("ry"))
     # Of many rows on one spot only the k lowest ids can ever be returned.
     r = materialize(top_per_key(r, ["rx", "ry"], ["rid"], k, "_n").drop("_n"), "refs")
     spark = q.sparkSession

@@ -124,3 +124,12 @@ def test_label_of_a_repeated_reference_id_adds_no_row(spark):
     df = spark.createDataFrame([(0.1, 0.0), (8.0, 9.0), (5.0, 4.9)], "x double, y double")
     out = neighbours.nearest_label(df, refs, "label", "id", "x", "y").collect()
     assert sorted((r.x, r.label) for r in out) == [(0.1, "near"), (5.0, "far"), (8.0, "b")]
+
+
+def test_rows_without_a_place_take_no_part(spark):
+    nan, inf = float("nan"), float("inf")
+    refs = spark.createDataFrame([(i, float(i % 20), float(i // 20)) for i in range(400)] + [(900, nan, 0.0), (901, 0.0, inf), (902, None, 1.0)],
+                                 "id int, x double, y double")
+    df = spark.createDataFrame([(3.2, 4.1), (nan, 1.0), (None, 1.0), (inf, 0.0), (19.0, 19.4)], "x double, y double")
+    out = {(r.x, r.y): r.id for r in neighbours.nearest(df, refs, "id").collect()}
+    assert out == {(3.2, 4.1): 83, (19.0, 19.4): 399}
