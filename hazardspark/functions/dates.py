@@ -16,6 +16,7 @@ EDGE = r"^[\s.,;]+|[\s.,;]+$"
 CLOCK = (r"(?i)at\s+\d+[:.]\d+.*", r"(?i)from\s+\d+[:.]\d+.*")
 DAYTIME = r"(?i)in the (midnight|morning|night).*"
 DAYTIME_AUDIT = r"(?i)in the (midnight|morning|night|afternoon|evening).*"
+# fixed values: the forms of dates in texts
 ORDINAL = r"(?i)(\d+)(st|nd|rd|th)"
 RANGE = r"(\d{1,2})\s*[-&/]\s*(\d{1,2})\s+([A-Za-z]+)\s+(\d{4})"
 RANGE_START = r"^(\d+)\s*[-&/]\s*\d+\s+([A-Za-z]+)\s+(\d{4})"

@@ -17,6 +17,7 @@ KEY = ["location_id", "forecast_horizon", "alert_severity"]
 # fixed values: texts of the alert feed and message
 DISCLAIMER = "SIMULATED / PROTOTYPE ALERT"
 RULE_LINE = "━" * 29
+PILOT_DISTRICT = "Sikkim"
 ACTION_VERY_HIGH = ("Urgent: Pre-position clearance machinery, alert NDRF/SDRF units, "
                     "restrict traffic on vulnerable corridors.")
 ACTION_HIGH = ("Advisory: Inspect road drainage culverts, alert local line-department patrols, "
@@ -146,8 +147,8 @@ def peak_alert(feed: DataFrame, station_id: str) -> DataFrame:
     return feed.where(F.col("station_id") == station_id).orderBy(F.desc("risk_score"), "feed_order").limit(1)
 
 
-def render_messages(feed: DataFrame) -> DataFrame:
-    """Message text per alert."""
+def render_messages(feed: DataFrame, district: str = PILOT_DISTRICT) -> DataFrame:
+    """Message text per alert; ``district`` stands where an alert names none."""
     severity = F.upper(F.coalesce("alert_severity", F.lit("HIGH")))
     urgent = severity == "VERY HIGH"
     index = F.coalesce(F.format_string("%.4f", "rainfall_trigger_index"), F.lit("N/A (Static Fallback)"))
@@ -159,7 +160,7 @@ def render_messages(feed: DataFrame) -> DataFrame:
         F.lit(RULE_LINE),
         F.concat(F.when(urgent, F.lit("🔴")).otherwise(F.lit("🟠")), F.lit(" *SEVERITY:* "), severity, F.lit(" WARNING")),
         F.concat(F.lit("📍 *LOCATION:* "), F.coalesce("location", F.lit("Unknown Corridor"))),
-        F.concat(F.lit("🏛 *DISTRICT:* "), F.coalesce("district", F.lit("Sikkim"))),
+        F.concat(F.lit("🏛 *DISTRICT:* "), F.coalesce("district", F.lit(district))),
         F.concat(F.lit("⏱ *FORECAST HORIZON:* "), F.coalesce("forecast_horizon", F.lit("+24h")), F.lit(" Outlook")),
         F.format_string("📈 *FORECAST RISK SCORE:* %.4f", F.coalesce("risk_score", F.lit(0.0))),
         F.format_string("🏔 *STATIC SUSCEPTIBILITY (S):* %.4f", F.coalesce("susceptibility", F.lit(0.0))),
