@@ -67,9 +67,29 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop path and its file system; for names only, no data passes the driver."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+    return target, target.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def make_folder(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.mkdirs(target)
+
+
+def publish(spark: SparkSession, path: str, to: str) -> bool:
+    """Move a finished folder below ``to`` in one step; False if there is none."""
+    source, fs = _file_system(spark, path)
+    if not fs.exists(source):
+        return False
+    make_folder(spark, to)
+    return bool(fs.rename(source, _file_system(spark, f"{to}/{source.getName()}")[0]))
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target, fs = _file_system(spark, path)
+    fs.delete(target, True)
 
 
 def discard(stored: DataFrame) -> None:

@@ -1,4 +1,4 @@
-"""The monitor: replay, restart, retry, cap and backlog."""
+"""The monitor: replay, restart, retry, cap, late outcomes and backlog."""
 
 import datetime as dt
 import time
@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from hazardspark.operators import alerts
 from hazardspark.session import new_path
-from hazardspark.streaming.monitor import Monitor, run_once, start, supervise
+from hazardspark.streaming.monitor import ATTEMPT_DDL, OPEN_DDL, Monitor, run_once, start, supervise
 
 SCHEMA = "event_id long, ts timestamp, station_id long, forecast_horizon string, risk_score double"
+HOUR = 3_600_000_000
+FIRST = [(1, 1, "+6h", 0.6), (2, 1, "+6h", 0.6), (3, 2, "+6h", 0.8), (4, 3, "+6h", 0.1), (5, 4, "+6h", 0.9)]
+SECOND = [(6, 1, "+6h", 0.7), (7, 1, "+6h", 0.76), (8, 5, "+24h", 0.55)]
 
 
 def batch(spark, rows):
@@ -18,8 +21,14 @@ def batch(spark, rows):
     return spark.createDataFrame([(e, day + dt.timedelta(hours=e), s, h, r) for e, s, h, r in rows], SCHEMA)
 
 
-FIRST = [(1, 1, "+6h", 0.6), (2, 1, "+6h", 0.6), (3, 2, "+6h", 0.8), (4, 3, "+6h", 0.1), (5, 4, "+6h", 0.9)]
-SECOND = [(6, 1, "+6h", 0.7), (7, 1, "+6h", 0.76), (8, 5, "+24h", 0.55)]
+def feed(spark, rows, path=None):
+    path = path or new_path(spark, "feed")
+    batch(spark, rows).write.mode("append").parquet(path)
+    return path, spark.readStream.schema(SCHEMA).parquet(path)
+
+
+def monitor(spark, **kw):
+    return Monitor(new_path(spark, "monitor"), **kw)
 
 
 def fail_once(planned, batch_id):
@@ -32,44 +41,51 @@ def sent(spark, m):
     return sorted((r.n, r.location_id, r.alert_severity) for r in rows)
 
 
-def test_cap_backlog_retry_and_replay(spark):
-    m = Monitor(new_path(spark, "monitor"), cap=2, outcomes=fail_once, compact_every=2)
-    m.cycle(batch(spark, FIRST), 0)
+def status(spark, m):
+    return {r.location_id: (r.status, r.tries) for r in m.state(spark).collect()}
+
+
+def test_cap_backlog_retry_and_restart(spark):
+    m = monitor(spark, cap=2, outcomes=fail_once)
+    path, stream = feed(spark, FIRST)
+    run_once(stream, m)
     assert sent(spark, m) == [(0, "1", "HIGH")]  # key of event 3 failed and used an attempt
-    m.cycle(batch(spark, SECOND), 1)
-    once = sent(spark, m)
-    assert once[1:] == [(1, "1", "VERY HIGH"), (1, "4", "VERY HIGH")]
-    m.cycle(batch(spark, SECOND), 1)  # Spark may run a batch again
-    assert sent(spark, m) == once
-    m.cycle(batch(spark, []), 2)
-    m.cycle(batch(spark, []), 3)
+    feed(spark, SECOND, path)
+    run_once(stream, m)
+    assert sent(spark, m)[1:] == [(1, "1", "VERY HIGH"), (1, "4", "VERY HIGH")]
+    again = Monitor(m.root, cap=2)  # a new process with the same folder
+    for _ in range(3):
+        run_once(stream, again)
     done = sent(spark, m)
     assert [k for _, k, _ in done].count("2") == 1
     assert len({(k, s) for _, k, s in done}) == len(done) == 5
-    again = Monitor(m.root, cap=2, compact_every=2)  # a new process with the same folder
-    again.cycle(batch(spark, FIRST + SECOND), 4)
-    assert sent(spark, again) == done
-    assert again.ledger(spark, 4).count() == 5
+    assert again.ledger(spark).count() == 5
+
 
+def test_a_batch_run_again_overwrites_its_attempts(spark):
+    m = monitor(spark, cap=1)
+    rows = spark.createDataFrame([("1", "+6h", "HIGH", 2 * HOUR, 2, 0.6, 0), ("2", "+6h", "HIGH", HOUR, 1, 0.7, 0)], OPEN_DDL)
+    m.cycle(rows, 0)
+    m.cycle(rows, 0)
+    got = m.attempts(spark).collect()
+    assert [(r.location_id, r.n, r.status, r.ts) for r in got] == [("2", 0, "SENT", dt.datetime(1970, 1, 1, 1))]
 
-def test_stream_restart_from_checkpoint(spark):
-    data, ckpt = new_path(spark, "feed"), new_path(spark, "checkpoint")
-    m = Monitor(new_path(spark, "monitor"), cap=None)
-    batch(spark, FIRST).coalesce(1).write.parquet(data)
-    stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(data)
-    run_once(stream, m, ckpt)
-    batch(spark, SECOND).coalesce(1).write.mode("append").parquet(data)
-    run_once(stream, m, ckpt)
-    assert [k for _, k, _ in sent(spark, m)] == ["1", "2", "4", "1", "5"]
+
+def test_attempts_read_twice_change_nothing(spark):
+    m = monitor(spark, cap=None, outcomes=fail_once)
+    path, stream = feed(spark, FIRST)
+    run_once(stream, m)
+    twice = m.attempts(spark).select(*[f.split()[0] for f in ATTEMPT_DDL.split(", ")])
+    twice.write.parquet(f"{m.root}/attempts/n=99")  # the same attempts under a second name
+    run_once(stream, m)
+    assert status(spark, m) == {"1": ("SENT", 1), "2": ("OPEN", 1), "4": ("SENT", 1)}
 
 
 def test_backlog_drains_without_new_data(spark):
-    data = new_path(spark, "feed")
-    batch(spark, FIRST).coalesce(1).write.parquet(data)
-    m = Monitor(new_path(spark, "monitor"), cap=1)
-    query = start(spark.readStream.schema(SCHEMA).parquet(data), m, new_path(spark, "checkpoint"), every="1 second")
+    m = monitor(spark, cap=1)
+    query = start(feed(spark, FIRST)[1], m, every="1 second")
     try:
-        deadline = time.time() + 90
+        deadline = time.time() + 120
         while time.time() < deadline:
             try:
                 if len(sent(spark, m)) == 3:
@@ -84,8 +100,6 @@ def test_backlog_drains_without_new_data(spark):
 
 
 def test_failed_cycle_is_run_again(spark):
-    data = new_path(spark, "feed")
-    batch(spark, FIRST).coalesce(1).write.parquet(data)
     calls = []
 
     def flaky(planned, batch_id):
@@ -97,9 +111,8 @@ def test_failed_cycle_is_run_again(spark):
                 q.stop()
         return planned.withColumn("status", F.lit("SENT"))
 
-    m = Monitor(new_path(spark, "monitor"), cap=2, outcomes=flaky)
-    stream = spark.readStream.schema(SCHEMA).parquet(data)
-    assert supervise(stream, m, new_path(spark, "checkpoint"), every="1 second", restarts=2) == 1
+    m = monitor(spark, cap=2, outcomes=flaky)
+    assert supervise(feed(spark, FIRST)[1], m, every="1 second", restarts=2) == 1
     assert calls[:2] == [0, 0] and [k for _, k, _ in sent(spark, m)] == ["1", "2", "4"]
 
 
@@ -115,33 +128,45 @@ def test_resolve_risk(spark, value, want):
 
 
 def test_late_outcomes_settle_pending_keys(spark):
-    known = {"rows": []}
-
-    def late(session):
-        return session.createDataFrame(known["rows"], "location_id string, forecast_horizon string, alert_severity string, status string")
-
     def unknown(planned, batch_id):
         return planned.withColumn("status", F.lit(None).cast("string"))
 
-    m = Monitor(new_path(spark, "monitor"), cap=2, outcomes=unknown, late=late)
-    m.cycle(batch(spark, FIRST), 0)
-    keys = [tuple(r) for r in m.state(spark, 0).where("pending").sort("ts").select(*alerts.KEY).collect()]
-    assert [k[0] for k in keys] == ["1", "2"]
-    m.cycle(batch(spark, []), 1)  # the pending keys wait, the third is planned
-    assert m.state(spark, 1).where("pending").count() == 3
-    known["rows"] = [(*keys[0], "SENT"), (*keys[1], "FAILED")]
-    m.cycle(batch(spark, []), 2)
-    state = {r.location_id: (r.sent, r.pending, r.tries) for r in m.state(spark, 2).collect()}
-    assert state["1"] == (True, False, 1) and state["2"] == (False, True, 2)
-    assert [r.location_id for r in m.ledger(spark, 2).collect()] == ["1"]
-
-
-def test_cap_on_sent_and_lost_state(spark):
+    m = monitor(spark, cap=2, outcomes=unknown)
+    path, stream = feed(spark, FIRST)
+    run_once(stream, m)
+    run_once(stream, m)  # the pending keys wait, the third is planned
+    assert status(spark, m) == {"1": ("PENDING", 1), "2": ("PENDING", 1), "4": ("OPEN", 0)}
+    keys = {r.location_id: r for r in m.state(spark).collect()}
+    known = [(k, *list(keys[k])[1:3], s) for k, s in (("1", "SENT"), ("2", "FAILED"), ("2", None))]
+    m.report(spark.createDataFrame([*known, ("9", "+6h", "HIGH", "SENT")], "location_id string, forecast_horizon string, alert_severity string, status string"))
+    run_once(stream, m)
+    assert status(spark, m) == {"1": ("SENT", 1), "2": ("OPEN", 1), "4": ("PENDING", 1)}  # key 9 was never planned
+    assert [r.location_id for r in m.ledger(spark).collect()] == ["1"]
+    assert sorted((r.n, r.location_id, r.tries) for r in m.attempts(spark).collect()) == [
+        (0, "1", 0), (0, "2", 0), (1, "4", 0), (2, "2", 1)]
+
+
+def test_cap_on_sent_and_a_cap_of_zero(spark):
     def failing(planned, batch_id):
         return planned.withColumn("status", F.when(F.col("event_id") < 4, "FAILED").otherwise("SENT"))
 
-    m = Monitor(new_path(spark, "monitor"), cap=1, outcomes=failing, cap_on="sent")
-    m.cycle(batch(spark, FIRST), 0)
+    m = monitor(spark, cap=1, outcomes=failing, cap_on="sent", order="feed")
+    path, stream = feed(spark, FIRST)
+    run_once(stream, m)
     assert [k for _, k, _ in sent(spark, m)] == ["4"]  # two failures did not use up the cap
-    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
-        m.cycle(batch(spark, FIRST), 2)  # batch 1 left nothing behind
+    m.cap, m.cap_on = 0, "attempts"
+    run_once(stream, m)
+    assert status(spark, m) == {"1": ("OPEN", 1), "2": ("OPEN", 1), "4": ("SENT", 1)}
+    assert m.attempts(spark).where("n = 1").count() == 0
+
+
+def test_undated_and_repeated_alerts(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(7, day, 1, "+6h", 0.6), (7, day, 1, "+6h", 0.6), (3, None, 2, "+6h", 0.6), (2, day, 2, "+6h", 0.6),
+            (None, day, None, "+6h", 0.9), (9, day, 5, None, None)]
+    path = new_path(spark, "feed")
+    spark.createDataFrame(rows * 3, SCHEMA).repartition(4).write.parquet(path)
+    m = monitor(spark, cap=None)
+    run_once(spark.readStream.schema(SCHEMA).parquet(path), m)
+    got = {r.location_id: (r.event_id, r.ts) for r in m.attempts(spark).collect()}
+    assert got == {"1": (7, day), "2": (3, None), None: (None, day)}  # an undated alert comes first
