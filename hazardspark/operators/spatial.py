@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from hazardspark.functions.numeric import nan_to_null
 from hazardspark.params import METRES_PER_DEG_LAT, METRES_PER_DEG_LON, Axis, Box, GridMeta
+from hazardspark.sources.raster import TILE, tile_count, tile_of
+
+_MOST_TILES = 1_000_000  # tile numbers broadcast at most: 4 MB
 
 
 def _lookup(points: DataFrame, cells: DataFrame, values: list[str], nodata: dict[str, float | None]) -> DataFrame:
@@ -29,8 +33,8 @@ def cell_of(points: DataFrame, meta: GridMeta, mode: str = "containing", lat: st
             lon: str = "longitude") -> DataFrame:
     """Add the cell key ``_r, _c``: the containing pixel, or the rounded inverse
     affine (half a pixel off, kept for parity)."""
-    col = (F.col(lon) - F.lit(meta.lon0)) / F.lit(meta.dx)
-    row = (F.lit(meta.lat0) - F.col(lat)) / F.lit(meta.dy)
+    col = nan_to_null((F.col(lon) - F.lit(meta.lon0)) / F.lit(meta.dx))  # rounding would turn NaN into 0
+    row = nan_to_null((F.lit(meta.lat0) - F.col(lat)) / F.lit(meta.dy))
     if mode == "containing":
         col, row = F.floor(col), F.floor(row)
     elif mode == "rounded":
@@ -85,6 +89,22 @@ def stack_layers(points: DataFrame, cells: DataFrame, meta: GridMeta, layers: di
     return _lookup(cell_of(points, meta), cells, list(layers), layers).drop("_r", "_c")
 
 
+def stack_tiles(points: DataFrame, tiles: DataFrame, meta: GridMeta, layers: dict[str, float | None],
+                size: int = TILE, mode: str = "containing") -> DataFrame:
+    """:func:`stack_layers` on stored tiles (``raster.store_tiles`` with the same ``size``).
+
+    The tiles that hold points reach the scan as a runtime filter on its folders, so
+    the others are never opened. The grid bounds how many tile numbers are broadcast;
+    a grid of more tiles than that is joined without.
+    """
+    placed = cell_of(points, meta, mode)
+    number = tile_of(meta, size, "_r", "_c")
+    wanted = placed.select(number.alias("tile")).where(F.col("tile") >= 0).distinct()
+    if tile_count(meta, size) <= _MOST_TILES:
+        wanted = F.broadcast(wanted)
+    return _lookup(placed, tiles.join(wanted, "tile", "left_semi"), list(layers), layers).drop("_r", "_c")
+
+
 def missing_per_layer(df: DataFrame, layers: list[str]) -> DataFrame:
     return df.agg(*[F.count_if(F.col(c).isNull()).alias(f"missing_{c}") for c in layers])
 

@@ -8,7 +8,8 @@ from hazardspark.operators import neighbours, spatial
 from hazardspark.params import Axis, Box
 from hazardspark.plans.registry import query
 from hazardspark.plans.tables import cells_meta
-from hazardspark.sources.raster import raster_cells
+from hazardspark.session import new_path
+from hazardspark.sources.raster import raster_cells, store_tiles
 
 CELL = "CAST(floor(({lat0} - latitude) / 0.02e0) AS INTEGER)"
 ROW = "CAST(floor((27.83e0 - latitude) / 0.02e0) AS INTEGER)"
@@ -27,13 +28,28 @@ def sides(t):
     return pts.where(F.col("label") == 0), pts.where(F.col("label") == 1)
 
 
-@query("d1_sample_containing", "fx_points fx_cells", f"""
+SAMPLED = f"""
 SELECT p.sl_no, CASE WHEN k.z <> -9999e0 THEN k.z END AS z FROM (SELECT *, {ROW} AS r, {COL} AS c FROM fx_points) p
-LEFT JOIN fx_cells k ON k.r = p.r AND k.c = p.c""")
+LEFT JOIN fx_cells k ON k.r = p.r AND k.c = p.c"""
+
+
+@query("d1_sample_containing", "fx_points fx_cells", SAMPLED)
 def d1(t):
     return spatial.sample_containing(t.fx_points, t.fx_cells, cells_meta(t), ["z"]).select("sl_no", "z")
 
 
+def from_tiles(t, layers):
+    """Layers of the points from the raster stored in tiles of 16 x 16 cells."""
+    meta = cells_meta(t)
+    tiles = store_tiles(t.fx_cells, meta, new_path(t.spark, "tiles"), 16)
+    return spatial.stack_tiles(t.fx_points, tiles, meta, layers, 16)
+
+
+@query("d1_stored_tiles", "fx_points fx_cells", SAMPLED)
+def d1_tiles(t):
+    return from_tiles(t, {"z": -9999.0}).select("sl_no", "z")
+
+
 def _axis(v, start, size):
     return f"greatest(least(CAST(ceil(({v} - {start}::DOUBLE) / 0.05::DOUBLE - 0.5::DOUBLE) AS INTEGER), {size - 1}), 0)"
 
@@ -76,6 +92,11 @@ def d4(t):
     return stacked(t).select("sl_no", "z", "land_cover")
 
 
+@query("d4_stored_tiles", "fx_points fx_cells", ", " + STACK + "SELECT sl_no, z, land_cover FROM stacked")
+def d4_tiles(t):
+    return from_tiles(t, {"z": -9999.0, "land_cover": None}).select("sl_no", "z", "land_cover")
+
+
 @query("d4_missing_per_layer", "fx_points fx_cells", ", " + STACK + """
 SELECT count(*) FILTER (WHERE z IS NULL) AS missing_z, count(*) FILTER (WHERE land_cover IS NULL) AS missing_land_cover FROM stacked""")
 def d4_missing(t):

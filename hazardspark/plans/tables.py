@@ -85,9 +85,12 @@ def a5(t):
     return t.spark.read.parquet(path).select("cell_id", "d", "precip", "year", "month")
 
 
-@query("a6_window_read", "fx_points", """
+WINDOW = """
 SELECT sl_no, latitude, longitude FROM fx_points
-WHERE latitude BETWEEN 27.2 AND 27.5 AND longitude BETWEEN 88.2 AND 88.6""")
+WHERE latitude BETWEEN 27.2 AND 27.5 AND longitude BETWEEN 88.2 AND 88.6"""
+
+
+@query("a6_window_read", "fx_points", WINDOW)
 def a6(t):
     path = new_path(t.spark, "points")
     t.fx_points.write.parquet(path)
@@ -95,6 +98,15 @@ def a6(t):
     return raster.window_read(t.spark.read.parquet(path), box).select("sl_no", "latitude", "longitude")
 
 
+@query("a6_clustered_window", "fx_points", WINDOW)
+def a6_clustered(t):
+    """The same window from rows stored along a space-filling curve."""
+    path = new_path(t.spark, "points-curve")
+    raster.write_clustered(t.fx_points, path, Box(27.0, 28.0, 88.0, 89.0))
+    box = Box(27.2, 27.5, 88.2, 88.6)
+    return raster.window_read(t.spark.read.schema(POINTS).parquet(path), box).select("sl_no", "latitude", "longitude")
+
+
 @query("a7_month_scan", "", """
 WITH big AS (SELECT CAST(o_orderdate AS DATE) AS event_date FROM orders WHERE o_totalprice > 495000)
 , months AS (SELECT DISTINCT year(d) AS y, month(d) AS m FROM (SELECT event_date - CAST(l.lag AS INTEGER) AS d FROM big
@@ -118,6 +130,19 @@ def a8(t):
     return tables.file_inventory(t.spark, t.folder)
 
 
+@query("a8_written_files", "", """
+SELECT '.txt' AS extension, count(DISTINCT p_size) AS files, CAST(sum(strlen(p_name) + 1) AS BIGINT) AS bytes FROM part
+UNION ALL SELECT '.csv', count(DISTINCT c_nationkey), CAST(sum(strlen(CAST(c_custkey AS VARCHAR)) + 1) AS BIGINT) FROM customer
+UNION ALL SELECT '.json', count(DISTINCT o_orderstatus), CAST(sum(strlen('{"o_orderkey":' || o_orderkey || '}') + 1) AS BIGINT) FROM orders""")
+def a8_written(t):
+    """Inventory of a folder of known files: a table each as text, CSV and JSON, one file per key."""
+    path = new_path(t.spark, "inventory")
+    for fmt, table, key, value in (("text", t.part, "p_size", "p_name"), ("csv", t.customer, "c_nationkey", "c_custkey"),
+                                   ("json", t.orders, "o_orderstatus", "o_orderkey")):
+        table.select(key, value).repartition(key).write.partitionBy(key).format(fmt).save(f"{path}/{fmt}")
+    return tables.file_inventory(t.spark, path)
+
+
 @query("a9_write_table", "fx_points", """
 SELECT 'csv' AS fmt, count(*) AS rows, CAST(sum(sl_no) AS BIGINT) AS id_sum FROM fx_points
 UNION ALL SELECT 'json', count(*), CAST(sum(sl_no) AS BIGINT) FROM fx_points

@@ -89,3 +89,62 @@ def test_lookback_joins_on_keys(spark):
     events = spark.range(50).select("id", (F.col("id") % 2).alias("cell_id"), day.alias("event_date"))
     text = plan(rainfall.antecedent_at(events, daily))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+GRID = GridMeta(0.0, 64.0, 1.0, 1.0, 64, 64)
+
+
+def grid_cells(spark):
+    return spark.range(64 * 64).select((F.col("id") / 64).cast("int").alias("r"), (F.col("id") % 64).cast("int").alias("c"),
+                                       F.when(F.col("id") % 11 > 0, F.col("id").cast("double")).otherwise(-9999.0).alias("z"))
+
+
+def test_tiles_without_points_are_not_opened(spark):
+    path = new_path(spark, "tiles")
+    tiles = raster.store_tiles(grid_cells(spark), GRID, path, 16)
+    assert sorted(r.tile for r in tiles.select("tile").distinct().collect()) == list(range(16))
+    places = [(1, 63.5, 0.5), (2, 60.5, 5.5), (3, 60.5, 5.5), (4, 10.5, 50.5), (5, 99.0, 1.0), (6, None, 3.0), (7, float("nan"), 3.0)]
+    pts = spark.createDataFrame(places, "id long, latitude double, longitude double")
+    got = spatial.stack_tiles(pts, tiles, GRID, {"z": -9999.0}, 16)
+    want = spatial.stack_layers(pts, grid_cells(spark), GRID, {"z": -9999.0})
+    for bad in range(16):  # tiles 0 and 15 hold the points; the others cannot be read any more
+        if bad not in (0, 15):
+            spark.createDataFrame([("junk",)], "r string").write.mode("overwrite").parquet(f"{path}/tile={bad}")
+    assert sorted(map(tuple, got.collect()), key=lambda r: r[0])[:5] == sorted(map(tuple, want.collect()), key=lambda r: r[0])[:5]
+    assert got.where("z is null").count() == 4 and "dynamicpruning" in plan(got)
+    with pytest.raises(Exception):
+        tiles.agg(F.sum("r")).collect()
+
+
+def test_no_points_and_no_cells(spark):
+    none = spark.createDataFrame([], "id long, latitude double, longitude double")
+    tiles = raster.store_tiles(grid_cells(spark).limit(0), GRID, new_path(spark, "tiles"), 16)
+    assert spatial.stack_tiles(none, tiles, GRID, {"z": None}, 16).count() == 0
+    pts = spark.createDataFrame([(1, 63.5, 0.5)], none.schema)
+    assert [tuple(r) for r in spatial.stack_tiles(pts, tiles, GRID, {"z": None}, 16).collect()] == [(1, 63.5, 0.5, None)]
+
+
+def rows_scanned(df):
+    df.collect()
+    leaf = df._jdf.queryExecution().executedPlan().collectLeaves().head()
+    return leaf.metrics().apply("numOutputRows").value()
+
+
+def test_window_reads_few_rows_of_clustered_storage(spark, conf):
+    """A box of one per cent of the area reads under ten per cent of the rows; a third share one place."""
+    conf(adaptive__coalescePartitions__enabled="false")  # one file per task
+    path, plain = new_path(spark, "curve"), new_path(spark, "plain")
+    hot = F.col("id") % 3 == 0
+    pts = spark.range(0, 120000, 1, 4).select(
+        "id", F.when(hot, 0.9).otherwise(F.col("id") * 7919 % 10007 / 10007).alias("latitude"),
+        F.when(hot, 0.1).otherwise(F.col("id") * 104729 % 10009 / 10009).alias("longitude"))
+    pts = pts.unionByName(spark.createDataFrame([(-1, None, 0.5), (-2, float("nan"), 0.5), (-3, 7.0, 7.0)], pts.schema))
+    pts.write.parquet(plain)
+    raster.write_clustered(pts, path, Box(0.0, 1.0, 0.0, 1.0), page_rows=500)
+    box = Box(0.40, 0.50, 0.40, 0.50)
+    few, all_ = (raster.window_read(spark.read.parquet(p), box) for p in (path, plain))
+    assert sorted(map(tuple, few.collect())) == sorted(map(tuple, all_.collect())) and few.count() > 500
+    assert rows_scanned(few) < 12000 < rows_scanned(all_)
+    assert spark.read.parquet(path).count() == 120003
+    per_file = spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
+    assert per_file < 25000  # the 40,000 rows of the popular place are not one task
