@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Observation, functions as F, types as T
 
 from hazardspark.functions.numeric import nan_to_null, rounded
 from hazardspark.operators.ordering import side_by_side
@@ -69,19 +69,41 @@ def valid_coords(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -
     return typed.where(_coords_ok(F.col(lat), F.col(lon)))
 
 
+def _stages(df: DataFrame, lat: str, lon: str) -> tuple[DataFrame, dict[str, Column]]:
+    """Distinct rows with ``_n`` copies and ``_some``, typed coordinates, and the counts of all cleaning stages."""
+    some = reduce(lambda a, b: a | b, [F.col(f"`{c}`").isNotNull() for c in df.columns])
+    each = df.groupBy(*[F.col(f"`{c}`") for c in df.columns]).agg(F.count(F.lit(1)).alias("_n")).withColumn("_some", some)
+    typed = each.withColumns({lat: to_number(F.col(lat)), lon: to_number(F.col(lon))})
+    ok = _coords_ok(F.col(lat), F.col(lon))
+    zero = F.lit(0)
+    return typed, {
+        "input_rows": F.coalesce(F.sum("_n"), zero),
+        "after_drop": F.coalesce(F.sum(F.when(F.col("_some"), F.col("_n"))), zero),
+        "after_dedup": F.count_if(F.col("_some")),
+        "invalid_coords": F.count_if(F.col("_some") & ~ok),
+        "clean_rows": F.count_if(F.col("_some") & ok),
+    }
+
+
 def cleaning_report(df: DataFrame, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
     """Row counts of all cleaning stages from one pass over distinct rows."""
-    each = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("_n"))
-    some = reduce(lambda a, b: a | b, [F.col(c).isNotNull() for c in df.columns])
-    ok = _coords_ok(to_number(F.col(lat)), to_number(F.col(lon)))
-    zero = F.lit(0)
-    return each.agg(
-        F.coalesce(F.sum("_n"), zero).alias("input_rows"),
-        F.coalesce(F.sum(F.when(some, F.col("_n"))), zero).alias("after_drop"),
-        F.count_if(some).alias("after_dedup"),
-        F.count_if(some & ~ok).alias("invalid_coords"),
-        F.count_if(some & ok).alias("clean_rows"),
-    )
+    typed, counts = _stages(df, lat, lon)
+    return typed.agg(*[count.alias(name) for name, count in counts.items()])
+
+
+def clean_to(df: DataFrame, path: str, lat: str = "latitude", lon: str = "longitude") -> DataFrame:
+    """Write the clean rows to ``path`` and return the report of :func:`cleaning_report`.
+
+    Clean rows are the distinct rows that are not all NULL and whose coordinates are
+    valid numbers. The counts are observed while the rows are written, so the report
+    takes no job of its own. They are taken behind the only shuffle, in the tasks that
+    write: a lost executor repeats work before it, which counts nothing.
+    """
+    typed, counts = _stages(df, lat, lon)
+    seen = Observation()
+    typed = typed.observe(seen, *[count.alias(name) for name, count in counts.items()])
+    typed.where(F.col("_some") & _coords_ok(F.col(lat), F.col(lon))).drop("_n", "_some").write.parquet(path)
+    return df.sparkSession.createDataFrame([tuple(seen.get[name] for name in counts)], ", ".join(f"{name} bigint" for name in counts))
 
 
 def missing_profile(df: DataFrame) -> DataFrame:

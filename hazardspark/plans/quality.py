@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from hazardspark.operators import quality
 from hazardspark.plans.registry import query
+from hazardspark.session import new_path
 
 ISNUM = r"regexp_full_match({0}, '\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*')"
 LAT = f"CASE WHEN {ISNUM.format('latitude')} THEN CAST(latitude AS DOUBLE) END"
@@ -54,16 +55,35 @@ def b6(t):
     return quality.valid_coords(t.fx_raw_points)
 
 
-@query("b7_cleaning_report", "fx_raw_points", f"""
+CLEANING = f"""
 , kept AS (SELECT * FROM fx_raw_points WHERE {SOME}), uniq AS (SELECT DISTINCT * FROM kept)
 , typed AS (SELECT {LAT} AS latitude, {LON} AS longitude FROM uniq)
 SELECT (SELECT count(*) FROM fx_raw_points) AS input_rows, (SELECT count(*) FROM kept) AS after_drop,
   (SELECT count(*) FROM uniq) AS after_dedup, (SELECT count(*) FROM typed WHERE NOT {OK}) AS invalid_coords,
-  (SELECT count(*) FROM typed WHERE {OK}) AS clean_rows""")
+  (SELECT count(*) FROM typed WHERE {OK}) AS clean_rows"""
+
+
+@query("b7_cleaning_report", "fx_raw_points", CLEANING)
 def b7(t):
     return quality.cleaning_report(t.fx_raw_points)
 
 
+@query("b7_observed_report", "fx_raw_points", CLEANING)
+def b7_observed(t):
+    """The same counts, observed while the clean rows are written."""
+    return quality.clean_to(t.fx_raw_points, new_path(t.spark, "clean"))
+
+
+@query("b6_clean_rows", "fx_raw_points", f"""
+, uniq AS (SELECT DISTINCT * FROM fx_raw_points WHERE {SOME})
+, typed AS (SELECT district, material, {LAT} AS latitude, {LON} AS longitude FROM uniq) SELECT * FROM typed WHERE {OK}""")
+def b6_clean(t):
+    """The rows that the write leaves."""
+    path = new_path(t.spark, "clean")
+    quality.clean_to(t.fx_raw_points, path)
+    return t.spark.read.parquet(path)
+
+
 @query("b8_missing_profile", "fx_raw_points", " , x AS (SELECT 1) " + " UNION ALL ".join(
     f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS missing FROM fx_raw_points"
     for c in ("district", "material", "latitude", "longitude")))

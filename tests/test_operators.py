@@ -301,3 +301,15 @@ def test_folds_are_those_of_the_rule_one_group_at_a_time(spark):
             loads[want[g]] += n
         got = out.collect()
         assert len(got) == len(rows) and {r.g: r.fold for r in got} == want
+
+
+def test_cleaning_counts_fall_out_of_the_write(spark):
+    ddl = "district string, latitude string, longitude string, `a.b` double"
+    rows = [("x", "1.0", "2.0", 1.0)] * 40 + [("x", "1.00", "2.0", 1.0), ("y", "91", "2", None), (None, None, None, None), ("z", None, "3", None)]
+    for table in (spark.createDataFrame(rows, ddl).repartition(4), spark.createDataFrame([], ddl)):
+        path = new_path(spark, "clean")
+        report = quality.clean_to(table, path)
+        want = quality.cleaning_report(table).first()
+        assert report.first() == want
+        assert spark.read.parquet(path).count() == want.clean_rows
+    assert want.input_rows == 0
