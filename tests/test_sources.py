@@ -27,6 +27,21 @@ def test_health_reports_a_corrupt_file(spark, tmp_path):
     assert rows == {"a": (True, 3, None), "b": (True, 0, "unreadable"), "c": (False, 0, "missing")}
 
 
+def test_health_opens_footers_only(spark, tmp_path):
+    path = str(tmp_path / "wide")
+    spark.range(0, 1000, 1, 3).selectExpr("id", "id AS a", "CAST(id AS string) AS b").write.parquet(path)
+    spark.range(0).write.parquet(str(tmp_path / "none"))
+    counted = tables._row_count(spark, path, "parquet")
+    assert "ReadSchema: struct<>" in counted._jdf.queryExecution().executedPlan().toString()
+    report = tables.dataset_health(spark, {"wide": path, "none": str(tmp_path / "none")})
+    assert [tuple(r) for r in report.collect()] == [("wide", True, 1000, None), ("none", True, 0, None)]
+    assert tables.health_status(report).first().status == "degraded"
+    assert tables.dataset_health(spark, {}).count() == 0
+    lines = str(tmp_path / "lines")
+    spark.range(4).coalesce(1).write.csv(lines, header=True)
+    assert tables.dataset_health(spark, {"l": lines}, "csv").first().rows == 4
+
+
 def test_ragged_fragments(spark):
     rows = [(0, 0, ["sl.no", "name"]), (0, 1, ["1"]), (0, 2, ["2", "b", "extra"]), (0, 3, ["3", "c"])]
     got = tables.merge_fragments(spark.createDataFrame(rows, "fragment int, row_no long, cells array<string>")).sort("row_no").collect()
