@@ -11,7 +11,7 @@ from hazardspark.functions.numeric import nan_to_null
 from hazardspark.operators import boosting, dataset, ensembles, grid, metrics, models, spatial, terrain
 from hazardspark.plans.grid import WIDE, coarse
 from hazardspark.plans.registry import query
-from hazardspark.plans.spatial import COL, DM, ROW, STACK, candidates, stacked
+from hazardspark.plans.spatial import CANDIDATES, COL, DD, DM, ROW, STACK, candidates, stacked
 from hazardspark.plans.tables import cells_meta
 from hazardspark.plans.terrain import STENCIL, base
 from hazardspark.session import materialize
@@ -51,11 +51,40 @@ def k1(t):
     return positives(t)
 
 
-@query("k2_negatives")
+def _nearest(n):
+    """The ``n`` inventory points nearest to each spaced cell."""
+    return (f"SELECT a.rn, b.district, b.bulk_density, {DD} AS dist FROM spaced a JOIN inv b ON TRUE "
+            f"QUALIFY row_number() OVER (PARTITION BY a.rn ORDER BY {DD}, b.sl_no) <= {n}")
+
+
+# the sequential rule: walk the cells far from the inventory by rank, keep the spaced ones
+NEGATIVES = f"""
+, inv AS (SELECT p.*, p.longitude * 98500e0 AS x, p.latitude * 111000e0 AS y, s.bulk_density FROM fx_points p JOIN fx_soil s ON s.sl_no = p.sl_no WHERE p.label = 1)
+, fit AS (SELECT r, c, z, 27.83e0 - (r + 0.5e0) * 0.02e0 AS latitude, 88.05e0 + (c + 0.5e0) * 0.016e0 AS longitude FROM fx_cells
+    WHERE (r, c) IN ({CANDIDATES}))
+, o AS (SELECT a.*, row_number() OVER (ORDER BY md5('42|' || r || '|' || c), r, c) AS rn FROM (SELECT *, longitude * 98500e0 AS x, latitude * 111000e0 AS y FROM fit) a
+    WHERE NOT EXISTS (SELECT 1 FROM inv b WHERE {DM} < 1000e0))
+, walk AS (SELECT 0::BIGINT AS rn, []::STRUCT(id BIGINT, x DOUBLE, y DOUBLE)[] AS kept
+  UNION ALL SELECT o.rn, CASE WHEN len(list_filter(kept, lambda k: sqrt((k.x - o.x) * (k.x - o.x) + (k.y - o.y) * (k.y - o.y)) < 2000e0)) = 0
+    THEN list_append(kept, {{'id': o.rn, 'x': o.x, 'y': o.y}}) ELSE kept END FROM walk JOIN o ON o.rn = walk.rn + 1)
+, spaced AS (SELECT o.* FROM (SELECT unnest(kept) AS k FROM (SELECT kept FROM walk ORDER BY rn DESC LIMIT 1) w) u JOIN o ON o.rn = k.id
+    ORDER BY o.rn LIMIT (SELECT count(*) FROM inv))
+, named AS ({_nearest(1)})
+, five AS ({_nearest(5)})
+, mean AS (SELECT rn, sum(bulk_density / greatest(dist, 1e-6)) / sum(1e0 / greatest(dist, 1e-6)) AS bulk_density FROM five GROUP BY rn)
+SELECT printf('BG_%04d', row_number() OVER (ORDER BY spaced.rn)) AS sample_id, 0 AS label, 'background_negative' AS sample_type, FALSE AS is_dated,
+  round(latitude, 9) AS latitude, round(longitude, 9) AS longitude, z AS elevation, named.district, CAST(round_even(mean.bulk_density, 0) AS INTEGER) AS bulk_density
+FROM spaced JOIN named ON named.rn = spaced.rn JOIN mean ON mean.rn = spaced.rn"""
+
+
+@query("k2_negatives", "fx_points fx_cells fx_soil", NEGATIVES, recursive=True)
 def k2(t):
-    cells = candidates(t).join(raster_cells(t.fx_cells, cells_meta(t), ["z"]).select("r", "c", "land_cover"), ["r", "c"])
+    """Cells 1 km off the inventory and 2 km apart, in an order that SQL can repeat."""
+    rank = F.md5(F.concat_ws("|", F.lit("42"), F.col("r").cast("string"), F.col("c").cast("string")))
     inventory = t.fx_points.where(F.col("label") == 1).join(t.fx_soil.select("sl_no", "bulk_density"), "sl_no")
-    return dataset.negatives(cells.drop("land_cover"), inventory, interpolate="bulk_density")
+    cells = candidates(t).withColumn("rank", rank).select("r", "c", "latitude", "longitude", "elevation", "rank")
+    out = dataset.negatives(cells, inventory, spacing=2000.0, interpolate="bulk_density")
+    return out.withColumns({c: F.round(c, 9) for c in ("latitude", "longitude")})
 
 
 @query("k3_ml_dataset", VIEWS, POS + "SELECT * FROM ml")
