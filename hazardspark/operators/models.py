@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from hazardspark.functions.numeric import nan_to_null
 from hazardspark.operators import boosting, dataset, ensembles, metrics
 from hazardspark.operators.boosting import Boosted
-from hazardspark.session import materialize
+from hazardspark.session import materialize, new_path
 
 # fixed values: conditioning factors
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
@@ -72,7 +72,15 @@ def _training_rows(df: DataFrame, label: str, numeric, categorical, parts: int |
 def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
     model = Pipeline(stages=[*prep_stages(n, numeric, categorical), classifier]).fit(rows)
     rows.unpersist()
-    return model
+    return PipelineModel([*model.stages[:-1], _without_summary(model.stages[-1], rows.sparkSession)])
+
+
+def _without_summary(fitted: Transformer, spark: SparkSession) -> Transformer:
+    """The model as stored and loaded again. The training summary of a fresh fit holds the session,
+    which cannot go to tasks once some query of the session has been observed."""
+    path = new_path(spark, "model")
+    fitted.write().save(path)
+    return type(fitted).load(path)
 
 
 def fit_logistic(df: DataFrame, c: float = 1.0, label: str = "label", numeric=NUMERIC, categorical=CATEGORICAL,

@@ -5,7 +5,7 @@ import random
 
 import pytest
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from hazardspark.operators import attribution, boosting, dataset, ensembles, metrics, models, spatial
 
@@ -42,6 +42,16 @@ def test_fits_rank_held_out_groups(data, fit, kw):
     assert auc(scored) > 0.85
 
 
+@pytest.mark.parametrize("fit,kw", [(models.fit_logistic, {}), (models.fit_forest, {"trees": 5})])
+def test_scores_after_an_observed_query(data, spark, fit, kw):
+    """An observation leaves a manager in the session that cannot go to tasks."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    scored = models.score(data, fit(data, **kw, **COLS))
+    assert scored.agg(F.count("prob")).first()[0] == 600
+
+
 def test_unknown_category_is_all_zeros(data, spark):
     fitted = models.prep_pipeline(data.count(), **COLS).fit(data)
     new = spark.createDataFrame([(0.0, 0.0, "99")], "a double, b double, kind string")
