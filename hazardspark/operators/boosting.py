@@ -12,8 +12,9 @@ depend on the partitions or on the order of the rows.
 
 Several fits on their own rows (folds, seeds) grow side by side in the same jobs. What
 comes to the driver per level are histogram bins: at most fits x nodes x features x bins,
-whatever the number of rows. Margins are written every ``STORE`` rounds to the shared
-folder; in between a task adds the few trees since. No state lives in executors.
+whatever the number of rows (up to ``DIRECT`` tasks send theirs, more are summed up in a
+shuffle). Margins are written to the shared folder every few rounds, the more rows the
+sooner (:func:`rounds_kept`); in between a task adds the trees since. No state lives in executors.
 """
 
 from __future__ import annotations
@@ -32,7 +33,10 @@ from hazardspark.session import discard, materialize
 SCALE = 1 << 24
 CELLS = 1 << 14  # cells counted per feature to place the bin borders
 STORE = 20
+STORE_ROWS = 700_000  # rows that a core walks down three trees in the time of a write
 TASK_ROWS = 100_000
+LEAST_ROWS = 15_000  # rows worth a task of their own
+DIRECT = 4
 _LOSS = -1
 
 
@@ -143,16 +147,42 @@ class _Tree:
 
     def place(self, bins: np.ndarray, depth: int) -> np.ndarray:
         at = np.zeros(len(bins), np.int64)
+        flat, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
         for _ in range(depth):
             f = self.feature[at]
-            right = bins[np.arange(len(bins)), np.maximum(f, 0)] > self.cut[at]
+            right = flat[first + np.maximum(f, 0)] > self.cut[at]
             at = np.where(f >= 0, 2 * at + 1 + right, at)
         return at
 
 
+def rounds_kept(rows: float) -> int:
+    """Rounds between two writes of the margins, by the rows of a core. Every level walks the trees
+    since the last write, so writes and walks together cost least at the square root of their ratio."""
+    return int(min(STORE, max(1, round(math.sqrt(STORE_ROWS / max(1, rows))))))
+
+
+def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches put together to about ``TASK_ROWS`` rows, each of which fills whole histograms."""
+    held, rows = [], 0
+    for batch in batches:
+        held.append(batch)
+        rows += batch.num_rows
+        if rows >= TASK_ROWS:
+            yield pa.concat_batches(held)
+            held, rows = [], 0
+    if rows:
+        yield pa.concat_batches(held)
+
+
+def _bytes_of(column: pa.Array, rows: int) -> np.ndarray:
+    """The bins of all rows (as many bytes each) from the column's buffers."""
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1]
+    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(rows, -1)
+
+
 def _with_margins(batch: pa.RecordBatch, bases: np.ndarray, trees: list[list[_Tree]], depth: int):
     fit = np.array(batch.column("fit"))
-    bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(len(fit), -1)
+    bins = _bytes_of(batch.column("bins"), len(fit))
     stored = np.array(batch.column("margin").fill_null(float("nan")))
     margin = np.where(np.isnan(stored), bases[fit], stored)
     for grown in trees:
@@ -178,7 +208,7 @@ def _histograms(bases, trees, growing: list[_Tree], level: int, s: Settings, tur
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         loss = np.zeros(len(bases), np.int64)
-        for batch in batches:
+        for batch in _together(batches):
             fit, bins, margin = _with_margins(batch, bases, trees, s.depth)
             y = np.array(batch.column("y"))
             if level == 0:
@@ -264,6 +294,12 @@ def _leaf(model: Boosted, tree: _Tree, turn: int, node: int, g: float, h: float,
     model.nodes.append((turn, node, -1, None, -1, -1, None, float(n), value))
 
 
+def _summed(found: pa.Table) -> dict[str, np.ndarray]:
+    """Sums per slot of the rows that reach the driver, as arrays."""
+    once = found.group_by("slot").aggregate([(c, "sum") for c in ("g", "h", "n")])
+    return {"slot": np.array(once.column("slot")), **{c: np.array(once.column(f"{c}_sum")) for c in ("g", "h", "n")}}
+
+
 def _local_session(spark):
     """A session for many short jobs on few groups; the caller's settings stay as they are."""
     own = spark.newSession()
@@ -301,16 +337,19 @@ def fit_many(df: DataFrame, fits: Column, label: str = "label", numeric=(), cate
     for model, own_borders in zip(models, borders):
         model.borders = [b.tolist() for b in own_borders]
     # Tasks of a size that outweighs their start; a level is one short job.
-    parts = max(1, -(-sum(r.n for r in shares.values()) // TASK_ROWS))
+    total = sum(r.n for r in shares.values())
+    parts = max(-(-total // TASK_ROWS), min(DIRECT, -(-total // LEAST_ROWS)))
+    keep = rounds_kept(total / min(parts, spark.sparkContext.defaultParallelism))
     stored = materialize(rows.repartition(parts).mapInArrow(_binned(borders), _ROWS), "boost-bins")
     bases = np.array([m.base for m in models])
     own, trees = _local_session(spark), []
     table = own.read.parquet(stored._stored_at)
 
     def sums_of(task):
-        found = table.mapInArrow(task, "slot long, g long, h long, n long").groupBy("slot")
-        found = found.agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")]).toArrow()
-        return {c: np.array(found.column(c)) for c in ("slot", "g", "h", "n")}
+        found = table.mapInArrow(task, "slot long, g long, h long, n long")
+        if parts > DIRECT:
+            found = found.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
+        return _summed(found.toArrow())
 
     def take_losses(sums):
         for k, model in enumerate(models):
@@ -326,7 +365,7 @@ def fit_many(df: DataFrame, fits: Column, label: str = "label", numeric=(), cate
             if not _grow(sums, growing, level, drawn, borders, settings, turn, models):
                 break
         trees.append(growing)
-        if len(trees) == STORE:
+        if len(trees) == keep:
             old, stored = stored, materialize(stored.mapInArrow(_stored(bases, trees, settings.depth), _ROWS), "boost-bins")
             discard(old)
             table, trees = own.read.parquet(stored._stored_at), []
