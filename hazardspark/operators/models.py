@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 from functools import reduce
+from multiprocessing.pool import ThreadPool
 from typing import NamedTuple
 
+from pyspark import inheritable_thread_target
 from pyspark.ml import Pipeline, PipelineModel, Transformer
 from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import ElementwiseProduct, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
@@ -23,6 +25,8 @@ from hazardspark.session import materialize, new_path
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
            "soil_bulk_density_0_5cm")
 CATEGORICAL = ("land_cover",)
+TASK_ROWS = 20_000  # rows of a task of the iterative fits
+SIDE_BY_SIDE = 8  # fits, folds and seeds whose jobs run at a time
 
 
 def prep_stages(n: int, numeric: tuple[str, ...] = NUMERIC, categorical: tuple[str, ...] = CATEGORICAL) -> list[Transformer]:
@@ -61,12 +65,13 @@ def missing_features(df: DataFrame, numeric=NUMERIC) -> DataFrame:
 def _training_rows(df: DataFrame, label: str, numeric, categorical, parts: int | None) -> tuple[DataFrame, int]:
     """The rows with all numeric features, cached for the many passes of a fit, and their count.
 
-    Iterative fits run thousands of short stages; ``parts`` sets in how many partitions
-    the rows are kept (by default those they have). Forests draw their samples per partition, so a fit repeats for the same partitions only.
+    Iterative fits run thousands of short stages; ``parts`` sets in how many partitions at
+    most the rows are kept (by default one for each ``TASK_ROWS`` rows). Forests draw their
+    samples per partition, so a fit repeats for the same partitions only.
     """
     rows = df.where(complete(numeric) & F.col(label).isNotNull()).select(*numeric, *categorical, label)
-    rows = (rows if parts is None else rows.coalesce(parts)).persist()
-    return rows, rows.count()
+    n = rows.count()
+    return rows.coalesce(max(1, -(-n // TASK_ROWS)) if parts is None else parts).persist(), n
 
 
 def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
@@ -199,45 +204,72 @@ def feature_ranking(spark: SparkSession, model: PipelineModel | Boosted, numeric
     return spark.createDataFrame(rows, "feature string, value double").orderBy(F.desc(F.abs("value")), "feature")
 
 
-def _fitted(fits: dict, splits: DataFrame, numbers: list[int], **kw) -> Iterator[tuple[str, int, object]]:
-    """Each model on the training rows of each split; ``splits`` has them all, by ``_split``."""
+def _at_once(tasks: list[Callable]) -> list:
+    """What the tasks return, in their order. Their jobs run side by side, as those of a
+    cross-validator with ``parallelism`` do: each alone is too short to fill a cluster."""
+    with ThreadPool(min(SIDE_BY_SIDE, len(tasks))) as pool:
+        return pool.map(lambda task: task(), [inheritable_thread_target(task) for task in tasks], chunksize=1)
+
+
+def _evaluated(fits: dict, splits: DataFrame, numbers: list[int], evaluate: Callable, **kw) -> list[DataFrame]:
+    """``evaluate(name, number, model)`` for each model on the training rows of each split;
+    ``splits`` has them all, by ``_split``. The longest fits start first."""
     train = splits.where(~F.col("is_test"))
+    tasks, order = [], []
     for name, fit in fits.items():
         fit = fit if isinstance(fit, Fit) else Fit(fit)
         if fit.many is not None:
-            for number, model in fit.many(train, F.array("_split"), **kw, **fit.options).items():
-                yield name, number, model
+            def run(name=name, fit=fit):
+                models = fit.many(train, F.array("_split"), **kw, **fit.options)
+                return [(name, number, evaluate(name, number, model)) for number, model in models.items()]
+            tasks.insert(0, run)
         else:
             for number in numbers:
-                yield name, number, fit.one(train.where(F.col("_split") == number), **kw, **fit.options)
+                def run(name=name, fit=fit, number=number):
+                    model = fit.one(train.where(F.col("_split") == number), **kw, **fit.options)
+                    return [(name, number, evaluate(name, number, model))]
+                tasks.append(run)
+        order.append(name)
+    found = [part for parts in _at_once(tasks) for part in parts]
+    return [df for _, _, df in sorted(found, key=lambda part: (order.index(part[0]), part[1]))]
+
+
+def _stored_splits(splits: list[Callable[[], DataFrame]]) -> DataFrame:
+    """All splits in one table, each made and written once for all models."""
+    def stored(i: int, split: Callable[[], DataFrame]):
+        return lambda: materialize(split().withColumn("_split", F.lit(i)), "split")
+
+    return reduce(DataFrame.unionByName, _at_once([stored(i, s) for i, s in enumerate(splits)]))
 
 
-def _stored_splits(splits: list[DataFrame]) -> DataFrame:
-    """All splits in one table, each written once for all models."""
-    numbered = [materialize(s.withColumn("_split", F.lit(i)), "split") for i, s in enumerate(splits)]
-    return reduce(DataFrame.unionByName, numbered)
+def _buffered(split: DataFrame, key: str, metres: float | None) -> DataFrame:
+    return split if metres is None else dataset.buffered_train(split, key, metres)
 
 
 def seed_stability(df: DataFrame, group: str, key: str, seeds: list[int], fits: dict, metres: float | None = 500.0,
                    **kw) -> DataFrame:
     """ROC-AUC of every model for a fresh hold-out per seed."""
-    splits = [dataset.group_holdout(df, group, seed=seed) for seed in seeds]
-    splits = _stored_splits(splits if metres is None else [dataset.buffered_train(s, key, metres) for s in splits])
-    parts = []
-    for name, i, model in _fitted(fits, splits, list(range(len(seeds))), **kw):
+    splits = _stored_splits([
+        lambda seed=seed: _buffered(dataset.group_holdout(df, group, seed=seed), key, metres) for seed in seeds])
+
+    def evaluate(name: str, i: int, model) -> DataFrame:
         auc = metrics.roc_auc(score(splits.where((F.col("_split") == i) & F.col("is_test")), model))
-        parts.append(auc.select(F.lit(name).alias("model"), F.lit(seeds[i]).alias("seed"), "roc_auc"))
-    return reduce(DataFrame.unionByName, parts)
+        return materialize(auc.select(F.lit(name).alias("model"), F.lit(seeds[i]).alias("seed"), "roc_auc"), "auc")
+
+    return reduce(DataFrame.unionByName, _evaluated(fits, splits, list(range(len(seeds))), evaluate, **kw))
 
 
 def cross_validate(df: DataFrame, group: str, key: str, fits: dict, k: int = 5, metres: float | None = 500.0,
                    **kw) -> DataFrame:
     """Metrics per model and fold of grouped cross-validation, in long form."""
     folded = materialize(dataset.group_kfold(df, group, k), "folds")
-    splits = [folded.withColumn("is_test", F.col("fold") == fold) for fold in range(k)]
-    splits = _stored_splits(splits if metres is None else [dataset.buffered_train(s, key, metres) for s in splits])
-    parts = []
-    for name, fold, model in _fitted(fits, splits, list(range(k)), **kw):
+    splits = _stored_splits([
+        lambda fold=fold: _buffered(folded.withColumn("is_test", F.col("fold") == fold), key, metres)
+        for fold in range(k)])
+
+    def evaluate(name: str, fold: int, model) -> DataFrame:
         scored = score(splits.where((F.col("_split") == fold) & F.col("is_test")), model)
-        parts.append(metrics.report(scored).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "metric", "value"))
-    return reduce(DataFrame.unionByName, parts)
+        rows = metrics.report(scored).select(F.lit(name).alias("model"), F.lit(fold).alias("fold"), "metric", "value")
+        return materialize(rows, "report")
+
+    return reduce(DataFrame.unionByName, _evaluated(fits, splits, list(range(k)), evaluate, **kw))

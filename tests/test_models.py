@@ -2,6 +2,7 @@
 
 import math
 import random
+import threading
 
 import pytest
 from pyspark.ml.functions import vector_to_array
@@ -233,3 +234,28 @@ def test_validation_takes_many_models(data):
     rows = models.seed_stability(data, "block", "id", [1, 2], fits, metres=None, **COLS).collect()
     assert sorted((r.model, r.seed) for r in rows) == [("gb", 1), ("gb", 2), ("lr", 1), ("lr", 2)]
     assert all(r.roc_auc > 0.8 for r in rows)
+
+
+def test_margins_are_written_sooner_for_more_rows():
+    kept = [boosting.rounds_kept(n) for n in (1_000, 30_000, 100_000, 1_000_000, 100_000_000)]
+    assert kept == sorted(kept, reverse=True) and kept[0] == boosting.STORE and kept[-1] == 1
+
+
+def test_one_partition_of_a_fit_holds_a_share_of_the_rows(data):
+    rows, n = models._training_rows(data.repartition(6), "label", ("a", "b"), ("kind",), None)
+    assert n == 600 and rows.rdd.getNumPartitions() == 1
+    rows.unpersist()
+
+
+def test_folds_and_seeds_are_fitted_at_the_same_time(data):
+    """All fits wait for each other: one after the other they would never end."""
+    met = threading.Barrier(3, timeout=60)
+
+    def fit(train, **kw):
+        met.wait()
+        return models.fit_logistic(train, **kw)
+
+    placed = data.withColumns({"x": F.col("a") * 1e6, "y": F.col("b") * 1e6})
+    out = models.seed_stability(placed, "block", "id", [1, 2, 3], {"logistic": fit}, **COLS).collect()
+    assert [(r.model, r.seed) for r in out] == [("logistic", 1), ("logistic", 2), ("logistic", 3)]
+    assert all(r.roc_auc > 0.85 for r in out)
