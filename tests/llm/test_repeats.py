@@ -129,3 +129,24 @@ def test_empty_table(spark):
 def test_short_length_is_refused(spark):
     with pytest.raises(ValueError):
         repeats.remove_repeats(documents(spark, ["a"]), 20)
+
+
+def test_stretches_without_a_shared_window_are_not_sorted():
+    rng = random.Random(8)
+    noise = lambda n: bytes(rng.randrange(256) for _ in range(n))
+    length, gram = 100, noise(repeats.GRAM)
+    rest = length - repeats.GRAM
+    rows, want = {}, set()
+    for k in range(40):  # alone: all have the gram, and up to 30 bytes before it
+        near = noise(30)
+        for side in (noise(60), noise(60)):
+            rows[1, len(rows)] = (1, side + near + gram + noise(rest), 90)
+    for before in range(0, rest + 1, 7):  # pairs that share one window
+        window = noise(before) + gram + noise(rest - before)
+        for tail in (noise(5), noise(9)):
+            want.add((1, len(rows)))
+            rows[1, len(rows)] = (1, tail + window + noise(3), len(tail) + before)
+    want.add((1, len(rows)))
+    rows[1, len(rows)] = (2, noise(40) + gram + noise(rest), 40)
+    rows[2, 0] = (1, rows[1, 100][1], rows[1, 100][2])  # of another gram
+    assert set(repeats.sharing(rows, length)) == want
