@@ -53,6 +53,17 @@ def test_scores_after_an_observed_query(data, spark, fit, kw):
     assert scored.agg(F.count("prob")).first()[0] == 600
 
 
+def test_walks_and_terms_after_an_observed_query(data, spark):
+    """The steps of k10, k12 (nodes of a forest) and l2 (transformed samples) beyond the score."""
+    seen = Observation()
+    spark.range(3).observe(seen, F.count(F.lit(1)).alias("n")).collect()
+    assert seen.get["n"] == 3
+    walked = models.walked_probability(data, models.fit_forest(data, trees=5, **COLS))
+    assert walked.agg(F.count("walked")).first()[0] == 600
+    rows = models.transformed(data, models.fit_logistic(data, **COLS), **COLS)
+    assert rows.agg(F.count("logit")).first()[0] == 600
+
+
 def test_unknown_category_is_all_zeros(data, spark):
     fitted = models.prep_pipeline(data.count(), **COLS).fit(data)
     new = spark.createDataFrame([(0.0, 0.0, "99")], "a double, b double, kind string")
