@@ -87,3 +87,21 @@ def test_connected_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (101, 100), (55, 55)], "a long, b long")
     got = {r["node"]: r["root"] for r in connected(edges, "a", "b", "t", materialize).collect()}
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 101: 100}
+
+
+def test_connected_ends_at_stars(spark):
+    """Each table of a round is written once; a graph of stars needs no round."""
+    labels = []
+
+    def keep(df, label):
+        labels.append(label)
+        return materialize(df, label)
+
+    stars = spark.createDataFrame([(9, 1), (1, 8), (7, 1), (30, 20), (20, 30), (5, 5)], "a long, b long")
+    got = {r["node"]: r["root"] for r in connected(stars, "a", "b", "t", keep).collect()}
+    assert got == {1: 1, 7: 1, 8: 1, 9: 1, 20: 20, 30: 20} and len(labels) == 1
+    assert connected(stars.limit(0), "a", "b", "t", keep).count() == 0
+    labels.clear()
+    chain = spark.createDataFrame([(1, 2), (2, 3)], "a long, b long")
+    assert {tuple(r) for r in connected(chain, "a", "b", "t", keep).collect()} == {(1, 1), (2, 1), (3, 1)}
+    assert len(labels) == 3
