@@ -10,11 +10,12 @@ each node takes the cut of the greatest gain
 (``SCALE`` steps per unit) and samples come from a hash of a row's key, so the trees do not
 depend on the partitions or on the order of the rows.
 
-Several fits on their own rows (folds, seeds) grow side by side in the same jobs. What
-comes to the driver per level are histogram bins: at most fits x nodes x features x bins,
-whatever the number of rows (up to ``DIRECT`` tasks send theirs, more are summed up in a
-shuffle). Margins are written to the shared folder every few rounds, the more rows the
-sooner (:func:`rounds_kept`); in between a task adds the trees since. No state lives in executors.
+Several fits on their own rows (folds, seeds) grow side by side in the same jobs. The rows
+lie in blocks of one fit, column by column, which tasks read as arrays. Histograms of a node
+meet in one task, which sums them up and cuts the node, so that the driver gets one row a
+node (only up to about ``DIRECT`` histograms of nodes go there as they are). Margins are written to the shared
+folder every few rounds, the more rows the sooner (:func:`rounds_kept`); in between a task
+adds the trees since. No state lives in executors.
 """
 
 from __future__ import annotations
@@ -33,10 +34,11 @@ from hazardspark.session import discard, materialize
 SCALE = 1 << 24
 CELLS = 1 << 14  # cells counted per feature to place the bin borders
 STORE = 20
-STORE_ROWS = 700_000  # rows that a core walks down three trees in the time of a write
-TASK_ROWS = 100_000
+STORE_ROWS = 2_700_000  # rows that a core walks down three trees in the time of a write
+BLOCK_ROWS = 1 << 14
+TASK_ROWS = 400_000  # rows of a task at most
 LEAST_ROWS = 15_000  # rows worth a task of their own
-DIRECT = 4
+DIRECT = 128
 _LOSS = -1
 
 
@@ -109,24 +111,44 @@ def _borders(rows: DataFrame, fits: int, n: int, kinds: int, bins: int) -> list[
     return out
 
 
-def _binned(borders: list[list[np.ndarray]]):
+_BLOCKS = "fit int, key binary, y binary, bins binary, margin binary"
+_SUMS = "slot int, at binary, g binary, h binary, n binary"
+_CUTS = "slot int, feature int, cut int, gain double, g long, h long, n long, gl long, hl long, nl long"
+_CUT_TYPES = [pa.int32(), pa.int32(), pa.int32(), pa.float64(), *[pa.int64()] * 6]
+
+
+def _binned(borders: list[list[np.ndarray]], bases: np.ndarray):
+    """Blocks of the rows of one fit: keys, labels, bins (a column after the other) and margins."""
+
+    def block(fit: int, held: list[tuple]) -> pa.RecordBatch:
+        key, y, bins = (np.concatenate(c, axis=-1) for c in zip(*held))
+        margin = np.full(len(key), bases[fit])
+        columns = [pa.array([fit], pa.int32()), *[pa.array([c.tobytes()], pa.binary()) for c in (key, y, bins, margin)]]
+        return pa.RecordBatch.from_arrays(columns, ["fit", "key", "y", "bins", "margin"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple]] = {}
         for batch in batches:
             x = np.array(batch.column("x").flatten()).reshape(batch.num_rows, -1)
-            fit = np.array(batch.column("fit"))
-            bins = np.zeros(x.shape, np.uint8)
-            for k in np.unique(fit):
-                for j, b in enumerate(borders[k]):
-                    bins[fit == k, j] = np.searchsorted(b, x[fit == k, j])
-            packed = pa.array([row.tobytes() for row in bins], pa.binary())
-            margin = pa.nulls(batch.num_rows, pa.float64())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("fit"), batch.column("key"), batch.column("y"), packed, margin], ["fit", "key", "y", "bins", "margin"])
+            fit, key, y = (np.array(batch.column(c)) for c in ("fit", "key", "y"))
+            for k in np.unique(fit).tolist():
+                mine = fit == k
+                bins = np.stack([np.searchsorted(b, x[mine, j]) for j, b in enumerate(borders[k])]).astype(np.uint8)
+                held.setdefault(k, []).append((key[mine], y[mine], bins))
+                if sum(len(part[0]) for part in held[k]) >= BLOCK_ROWS:
+                    yield block(k, held.pop(k))
+        for k, parts in held.items():
+            yield block(k, parts)
 
     return run
 
 
-_ROWS = "fit int, key long, y double, bins binary, margin double"
+def _arrays(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    """fit, keys, labels, bins (features x rows) and margins of each block."""
+    for batch in batches:
+        for fit, *blobs in zip(batch.column("fit").to_pylist(), *[batch.column(c) for c in ("key", "y", "bins", "margin")]):
+            key, y, bins, margin = (np.frombuffer(b.as_buffer(), t) for b, t in zip(blobs, (np.int64, float, np.uint8, float)))
+            yield fit, key, y, bins.reshape(-1, len(key)), margin
 
 
 def _uniform(key: np.ndarray, seed: int) -> np.ndarray:
@@ -142,16 +164,20 @@ class _Tree:
 
     def __init__(self, depth: int):
         size = (1 << (depth + 1)) - 1
-        self.feature, self.cut = np.full(size, -1), np.zeros(size, np.int64)
+        # A node without a split leads to itself: no bin lies beyond its cut.
+        self.feature, self.cut, self.left = np.zeros(size, np.int64), np.full(size, 255), np.arange(size)
         self.value = np.zeros(size)
 
+    def split(self, node: int, feature: int, cut: int) -> None:
+        self.feature[node], self.cut[node], self.left[node] = feature, cut, 2 * node + 1
+
     def place(self, bins: np.ndarray, depth: int) -> np.ndarray:
-        at = np.zeros(len(bins), np.int64)
-        flat, first = bins.ravel(), np.arange(len(bins)) * bins.shape[1]
+        """Node of each column of ``bins`` (features x rows)."""
+        rows = bins.shape[1]
+        at, flat, row = np.zeros(rows, np.int64), bins.ravel(), np.arange(rows)
+        first = self.feature * rows
         for _ in range(depth):
-            f = self.feature[at]
-            right = flat[first + np.maximum(f, 0)] > self.cut[at]
-            at = np.where(f >= 0, 2 * at + 1 + right, at)
+            at = self.left[at] + (flat[first[at] + row] > self.cut[at])
         return at
 
 
@@ -161,79 +187,94 @@ def rounds_kept(rows: float) -> int:
     return int(min(STORE, max(1, round(math.sqrt(STORE_ROWS / max(1, rows))))))
 
 
-def _together(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches put together to about ``TASK_ROWS`` rows, each of which fills whole histograms."""
-    held, rows = [], 0
-    for batch in batches:
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= TASK_ROWS:
-            yield pa.concat_batches(held)
-            held, rows = [], 0
-    if rows:
-        yield pa.concat_batches(held)
-
-
-def _bytes_of(column: pa.Array, rows: int) -> np.ndarray:
-    """The bins of all rows (as many bytes each) from the column's buffers."""
-    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + rows + 1]
-    return np.frombuffer(column.buffers()[2], np.uint8)[ends[0] : ends[-1]].reshape(rows, -1)
-
-
-def _with_margins(batch: pa.RecordBatch, bases: np.ndarray, trees: list[list[_Tree]], depth: int):
-    fit = np.array(batch.column("fit"))
-    bins = _bytes_of(batch.column("bins"), len(fit))
-    stored = np.array(batch.column("margin").fill_null(float("nan")))
-    margin = np.where(np.isnan(stored), bases[fit], stored)
+def _grown(margin: np.ndarray, bins: np.ndarray, fit: int, trees: list[list[_Tree]], depth: int) -> np.ndarray:
+    """The margins after the trees that were grown since they were written."""
     for grown in trees:
-        for k, tree in enumerate(grown):
-            mine = fit == k
-            margin[mine] += tree.value[tree.place(bins[mine], depth)]
-    return fit, bins, margin
+        margin = margin + grown[fit].value[grown[fit].place(bins, depth)]
+    return margin
 
 
-def _stored(bases, trees, depth: int):
+def _stored(trees, depth: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            margin = _with_margins(batch, bases, trees, depth)[2]
-            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margin))
+            margins = [_grown(margin, bins, fit, trees, depth).tobytes() for fit, _, _, bins, margin in _arrays([batch])]
+            yield batch.set_column(batch.schema.get_field_index("margin"), "margin", pa.array(margins, pa.binary()))
 
     return run
 
 
-def _histograms(bases, trees, growing: list[_Tree], level: int, s: Settings, turn: int):
-    """Sums per slot ((fit, node of the level), feature, bin); slot -1 - fit holds the loss."""
+def _histograms(fits: int, trees, growing: list[_Tree], level: int, drawn: np.ndarray, s: Settings, turn: int):
+    """Per slot (fit, node of the level) the sums of the filled (drawn feature, bin); slot -1 - fit holds the loss."""
     first, width = (1 << level) - 1, 1 << level
+    columns = np.flatnonzero(drawn)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[str, np.ndarray] = {}
-        loss = np.zeros(len(bases), np.int64)
-        for batch in _together(batches):
-            fit, bins, margin = _with_margins(batch, bases, trees, s.depth)
-            y = np.array(batch.column("y"))
+        totals: dict[int, np.ndarray] = {}
+        loss = np.zeros(fits, np.int64)
+        for fit, key, y, bins, margin in _arrays(batches):
             if level == 0:
-                each = np.rint((np.logaddexp(0, margin) - y * margin) * SCALE).astype(np.int64)
-                np.add.at(loss, fit, each)
-            keep = _uniform(np.array(batch.column("key")), s.seed * 1000003 + turn) < s.subsample
-            node = np.zeros(len(fit), np.int64)
-            for k, tree in enumerate(growing):
-                node[fit == k] = tree.place(bins[fit == k], level)
-            keep &= node >= first
-            p = 1 / (1 + np.exp(-margin[keep]))
-            g, h = np.rint((p - y[keep]) * SCALE), np.rint(p * (1 - p) * SCALE)
-            features = bins.shape[1]
-            slot = ((fit[keep] * width + node[keep] - first)[:, None] * features + np.arange(features)) * 256 + bins[keep]
-            size = len(bases) * width * features * 256
-            for name, v in (("g", g), ("h", h), ("n", np.ones(len(g)))):
-                add = np.bincount(slot.ravel(), np.repeat(v, features), minlength=size).astype(np.int64)
-                total[name] = total.get(name, 0) + add
-        if not total:
-            return
-        some = np.flatnonzero(total["n"])
-        slots = np.concatenate([some, _LOSS - np.arange(len(loss))])
-        rest = np.zeros(len(loss), np.int64)
-        sums = [np.concatenate([total["g"][some], loss]), *[np.concatenate([total[k][some], rest]) for k in ("h", "n")]]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (slots, *sums)], ["slot", "g", "h", "n"])
+                margin = _grown(margin, bins, fit, trees, s.depth)
+                loss[fit] += np.rint((np.logaddexp(0, margin) - y * margin) * SCALE).astype(np.int64).sum()
+            if not len(columns):
+                continue
+            keep = np.flatnonzero(_uniform(key, s.seed * 1000003 + turn) < s.subsample)
+            margin, y, bins = margin[keep], y[keep], bins.take(keep, axis=1)
+            if level:
+                margin = _grown(margin, bins, fit, trees, s.depth)
+                node = growing[fit].place(bins, level)
+                still = np.flatnonzero(node >= first)
+                if len(still) < len(node):
+                    node, margin, y, bins = node[still], margin[still], y[still], bins.take(still, axis=1)
+                start = (node - first) * 256
+            else:
+                start = np.zeros(len(keep), np.int64)
+            p = 1 / (1 + np.exp(-margin))
+            g, h = np.rint((p - y) * SCALE), np.rint(p * (1 - p) * SCALE)
+            if fit not in totals:
+                totals[fit] = np.zeros((3, width, len(columns), 256), np.int64)
+            for at, j in enumerate(columns):
+                place = start + bins[j]
+                for total, weights in zip(totals[fit], (g, h, None)):
+                    total[:, at] += np.bincount(place, weights, width * 256).reshape(width, 256).astype(np.int64)
+        rows = [(_LOSS - k, b"", int(loss[k]).to_bytes(8, "little", signed=True), b"", b"") for k in np.flatnonzero(loss).tolist()]
+        for fit, total in totals.items():
+            flat = total.reshape(3, width, -1)
+            for node in range(width):
+                some = np.flatnonzero(flat[2, node])
+                if len(some):
+                    rows.append((fit * width + node, some.astype(np.int32).tobytes(), *[c.tobytes() for c in flat[:, node, some]]))
+        for start in range(0, len(rows), 64):
+            slots, *blobs = zip(*rows[start : start + 64])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(slots, pa.int32()), *[pa.array(c, pa.binary()) for c in blobs]], ["slot", "at", "g", "h", "n"])
+
+    return run
+
+
+def _cuts(drawn: np.ndarray, s: Settings):
+    """Sum up the histograms of each slot: its sums, the cut of the greatest gain and the sums to the left of it."""
+    columns = np.flatnonzero(drawn)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        loss: dict[int, int] = {}
+        for batch in batches:
+            for slot, at, *sums in zip(batch.column("slot").to_pylist(), *[batch.column(c) for c in ("at", "g", "h", "n")]):
+                if slot < 0:
+                    loss[slot] = loss.get(slot, 0) + int(np.frombuffer(sums[0].as_buffer(), np.int64)[0])
+                    continue
+                total = totals.setdefault(slot, np.zeros((3, len(columns) * 256), np.int64))
+                total[:, np.frombuffer(at.as_buffer(), np.int32)] += [np.frombuffer(c.as_buffer(), np.int64) for c in sums]
+        rows = [(slot, -1, -1, None, value, 0, 0, 0, 0, 0) for slot, value in loss.items()]
+        for slot, total in totals.items():
+            total = total.reshape(3, len(columns), 256)
+            gains = _gains(total[0] / SCALE, total[1] / SCALE, s)
+            j, cut = divmod(int(gains.argmax()), 256)
+            left, whole = total[:, j, : cut + 1].sum(axis=1), total[:, j].sum(axis=1)
+            rows.append((slot, int(columns[j]), cut, float(gains[j, cut]), *whole.tolist(), *left.tolist()))
+        if rows:
+            names = [c.split()[0] for c in _CUTS.split(", ")]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), _CUT_TYPES)], names)
 
     return run
 
@@ -254,60 +295,51 @@ def _drawn_columns(n: int, s: Settings, turn: int) -> np.ndarray:
     return drawn
 
 
-def _grow(sums, growing: list[_Tree], level: int, drawn, borders, s: Settings, turn: int, models: list[Boosted]) -> bool:
-    """Split the nodes of a level by its histograms; True if some child can be split again."""
-    first, width, features = (1 << level) - 1, 1 << level, len(drawn)
-    shape = (len(growing), width, features, 256)
-    dense = {}
-    at = sums["slot"] >= 0
-    for name in ("g", "h", "n"):
-        flat = np.zeros(math.prod(shape))
-        flat[sums["slot"][at]] = sums[name][at]
-        dense[name] = flat.reshape(shape) / (1 if name == "n" else SCALE)
-    gains = _gains(dense["g"], dense["h"], s)
-    gains[:, :, ~drawn] = -np.inf
+def _grow(cuts: list[dict], growing: list[_Tree], level: int, borders, s: Settings, turn: int, models: list[Boosted]) -> bool:
+    """Split the nodes of a level where it pays; True if some child can be split again."""
+    first, width = (1 << level) - 1, 1 << level
     more = False
-    for k, tree in enumerate(growing):
-        for i in range(width):
-            node, count = first + i, dense["n"][k, i, 0].sum()
-            if not count:
-                continue
-            f, cut = divmod(int(gains[k, i].argmax()), 256)
-            g, h = dense["g"][k, i], dense["h"][k, i]
-            gain = float(gains[k, i, f, cut])
-            if not gain > 1e-9 * count:
-                _leaf(models[k], tree, turn, node, g[0].sum(), h[0].sum(), count, s)
-                continue
-            tree.feature[node], tree.cut[node] = f, cut
-            models[k].nodes.append((turn, node, f, float(borders[k][f][cut]), 2 * node + 1, 2 * node + 2, gain, float(count), None))
-            if level + 1 < s.depth:
-                more = True
-                continue
-            for child, part in ((2 * node + 1, slice(0, cut + 1)), (2 * node + 2, slice(cut + 1, None))):
-                _leaf(models[k], tree, turn, child, g[f, part].sum(), h[f, part].sum(), dense["n"][k, i, f, part].sum(), s)
+    for c in sorted((c for c in cuts if c["slot"] >= 0), key=lambda c: c["slot"]):
+        k, i = divmod(c["slot"], width)
+        node, tree, model = first + i, growing[k], models[k]
+        whole, left = (c["g"], c["h"], c["n"]), (c["gl"], c["hl"], c["nl"])
+        if not c["gain"] > 1e-9 * c["n"]:
+            _leaf(model, tree, turn, node, whole, s)
+            continue
+        tree.split(node, c["feature"], c["cut"])
+        border = float(borders[k][c["feature"]][c["cut"]])
+        model.nodes.append((turn, node, c["feature"], border, 2 * node + 1, 2 * node + 2, c["gain"], float(c["n"]), None))
+        if level + 1 < s.depth:
+            more = True
+            continue
+        _leaf(model, tree, turn, 2 * node + 1, left, s)
+        _leaf(model, tree, turn, 2 * node + 2, [a - b for a, b in zip(whole, left)], s)
     return more
 
 
-def _leaf(model: Boosted, tree: _Tree, turn: int, node: int, g: float, h: float, n: float, s: Settings) -> None:
-    value = -s.rate * float(g) / (float(h) + s.penalty)
+def _leaf(model: Boosted, tree: _Tree, turn: int, node: int, sums, s: Settings) -> None:
+    g, h, n = sums
+    value = -s.rate * (g / SCALE) / (h / SCALE + s.penalty)
     tree.value[node] = value
     model.nodes.append((turn, node, -1, None, -1, -1, None, float(n), value))
 
 
-def _summed(found: pa.Table) -> dict[str, np.ndarray]:
-    """Sums per slot of the rows that reach the driver, as arrays."""
-    once = found.group_by("slot").aggregate([(c, "sum") for c in ("g", "h", "n")])
-    return {"slot": np.array(once.column("slot")), **{c: np.array(once.column(f"{c}_sum")) for c in ("g", "h", "n")}}
-
-
 def _local_session(spark):
     """A session for many short jobs on few groups; the caller's settings stay as they are."""
     own = spark.newSession()
     own.conf.set("spark.sql.adaptive.enabled", "false")
-    own.conf.set("spark.sql.shuffle.partitions", "2")
+    for name in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        own.conf.set(name, "16")  # blocks
     return own
 
 
+def _parts(rows: int, cores: int) -> int:
+    """Tasks of a level: as many as there are cores, if each has rows enough, or whole turns of all cores."""
+    few = min(cores, -(-rows // LEAST_ROWS))
+    turns = -(-rows // (TASK_ROWS * cores))
+    return few if turns <= 1 else turns * cores
+
+
 def fit_many(df: DataFrame, fits: Column, label: str = "label", numeric=(), categorical=(), key: str | None = None,
              settings: Settings = Settings()) -> dict[int, Boosted]:
     """One boosted model per number in the array column ``fits``, each on the rows that name it.
@@ -337,39 +369,44 @@ def fit_many(df: DataFrame, fits: Column, label: str = "label", numeric=(), cate
     for model, own_borders in zip(models, borders):
         model.borders = [b.tolist() for b in own_borders]
     # Tasks of a size that outweighs their start; a level is one short job.
-    total = sum(r.n for r in shares.values())
-    parts = max(-(-total // TASK_ROWS), min(DIRECT, -(-total // LEAST_ROWS)))
-    keep = rounds_kept(total / min(parts, spark.sparkContext.defaultParallelism))
-    stored = materialize(rows.repartition(parts).mapInArrow(_binned(borders), _ROWS), "boost-bins")
+    total, cores = sum(r.n for r in shares.values()), spark.sparkContext.defaultParallelism
+    parts = _parts(total, cores)
+    keep = rounds_kept(total / min(parts, cores))
     bases = np.array([m.base for m in models])
+    # A task holds the rows of few fits, so its histograms are few.
+    ranged = rows.coalesce(1) if parts == 1 else rows.repartitionByRange(parts, "fit", F.rand(0))
+    stored = materialize(ranged.mapInArrow(_binned(borders, bases), _BLOCKS), "boost-bins")
     own, trees = _local_session(spark), []
-    table = own.read.parquet(stored._stored_at)
-
-    def sums_of(task):
-        found = table.mapInArrow(task, "slot long, g long, h long, n long")
-        if parts > DIRECT:
-            found = found.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("g", "h", "n")])
-        return _summed(found.toArrow())
-
-    def take_losses(sums):
+    table = own.read.schema(_BLOCKS).parquet(stored._stored_at)
+
+    def cuts_of(growing, level, drawn, turn):
+        found = table.mapInArrow(_histograms(len(models), trees, growing, level, drawn, settings, turn), _SUMS)
+        best = _cuts(drawn, settings)
+        if (parts + len(models)) << level > DIRECT:
+            found = found.repartition(min(cores, len(models) << level), "slot").mapInArrow(best, _CUTS)
+            return found.toArrow().to_pylist()
+        return [c for batch in best(found.toArrow().to_batches()) for c in batch.to_pylist()]
+
+    def take_losses(cuts):
+        sums = {_LOSS - c["slot"]: c["g"] for c in cuts if c["slot"] < 0}
         for k, model in enumerate(models):
-            model.losses.append(float(sums["g"][sums["slot"] == _LOSS - k].sum()) / SCALE / shares[numbers[k]].n)
+            model.losses.append(float(sums.get(k, 0)) / SCALE / shares[numbers[k]].n)
 
     for turn in range(settings.rounds):
         growing = [_Tree(settings.depth) for _ in models]
         drawn = _drawn_columns(len(names), settings, turn)
         for level in range(settings.depth):
-            sums = sums_of(_histograms(bases, trees, growing, level, settings, turn))
+            cuts = cuts_of(growing, level, drawn, turn)
             if level == 0:
-                take_losses(sums)
-            if not _grow(sums, growing, level, drawn, borders, settings, turn, models):
+                take_losses(cuts)
+            if not _grow(cuts, growing, level, borders, settings, turn, models):
                 break
         trees.append(growing)
         if len(trees) == keep:
-            old, stored = stored, materialize(stored.mapInArrow(_stored(bases, trees, settings.depth), _ROWS), "boost-bins")
+            old, stored = stored, materialize(stored.mapInArrow(_stored(trees, settings.depth), _BLOCKS), "boost-bins")
             discard(old)
-            table, trees = own.read.parquet(stored._stored_at), []
-    take_losses(sums_of(_histograms(bases, trees, [_Tree(settings.depth) for _ in models], 0, settings, settings.rounds)))
+            table, trees = own.read.schema(_BLOCKS).parquet(stored._stored_at), []
+    take_losses(cuts_of([_Tree(settings.depth) for _ in models], 0, np.zeros(len(names), bool), settings.rounds))
     return dict(zip(numbers, models))
 
 
@@ -397,15 +434,14 @@ def _from_bins(model: Boosted):
     trees = [_Tree(model.depth) for _ in range(len(model.losses) - 1)]
     for tree, node, f, threshold, _, _, _, _, value in model.nodes:
         if f >= 0:
-            trees[tree].feature[node] = f
-            trees[tree].cut[node] = np.searchsorted(model.borders[f], threshold)
+            trees[tree].split(node, f, int(np.searchsorted(model.borders[f], threshold)))
         else:
             trees[tree].value[node] = value
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = np.array(batch.column("_x").flatten()).reshape(batch.num_rows, -1)
-            bins = np.stack([np.searchsorted(b, x[:, k]) for k, b in enumerate(model.borders)], axis=1)
+            bins = np.stack([np.searchsorted(b, x[:, k]) for k, b in enumerate(model.borders)]).astype(np.uint8)
             margin = np.full(len(x), model.base)
             for tree in trees:
                 margin += tree.value[tree.place(bins, model.depth)]

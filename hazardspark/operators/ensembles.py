@@ -9,14 +9,20 @@ and depth), not the data, so a table of nodes may go to every task.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import NamedTuple
+
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from hazardspark.session import new_path
 
 NODES = ("tree int, node int, feature int, threshold double, left int, right int, gain double, weight double, "
          "value double")
+WALK_ROWS = 256  # rows that walk down all trees at once
 
 
 def forest_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
@@ -43,10 +49,21 @@ def forest_nodes(model: PipelineModel, spark: SparkSession) -> DataFrame:
         F.when(~leaf, F.col("gain")).alias("gain"), weight.alias("weight"), (stats[1] / weight).alias("value"))
 
 
-def _flat(nodes: DataFrame) -> DataFrame:
-    """All nodes in one row of arrays; children are places in these arrays."""
-    table = nodes.toArrow().sort_by([("tree", "ascending"), ("node", "ascending")])
-    col = {c: np.array(table.column(c).fill_null(0)) for c in ("tree", "node", "feature", "threshold", "left", "right", "value")}
+class _Flat(NamedTuple):
+    """All nodes as arrays; children are places in these arrays, a leaf is its own child."""
+
+    root: np.ndarray
+    feature: np.ndarray
+    threshold: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
+    value: np.ndarray
+
+
+def _flat(nodes: DataFrame) -> _Flat:
+    table = nodes.select("tree", "node", "feature", "threshold", "left", "right", "value").toArrow()
+    table = table.sort_by([("tree", "ascending"), ("node", "ascending")])
+    col = {c: np.array(table.column(c).fill_null(0)) for c in table.column_names}
     span = int(col["node"].max(initial=0)) + 1
     name = col["tree"].astype(np.int64) * span + col["node"]
     root = np.flatnonzero(np.append(True, col["tree"][1:] != col["tree"][:-1])) if len(name) else name
@@ -54,28 +71,43 @@ def _flat(nodes: DataFrame) -> DataFrame:
 
     def place(child: str) -> np.ndarray:
         at = np.searchsorted(name, col["tree"].astype(np.int64) * span + col[child])
-        return np.where(inner, at, np.arange(len(name)))
+        return np.where(inner, at, np.arange(len(name))).astype(np.int32)
+
+    return _Flat(root.astype(np.int32), np.maximum(col["feature"], 0), col["threshold"], place("left"), place("right"), col["value"])
+
+
+def _walked(flat: _Flat, depth: int):
+    """The leaves of each row of ``_x``, a column that gives way to theirs."""
+
+    def leaves(x: pa.Array) -> pa.Array:
+        known, trees = np.flatnonzero(np.array(x.is_valid())), len(flat.root)
+        values = np.array(x.flatten(), float)
+        width = len(values) // max(1, len(known))
+        at = np.repeat(flat.root[:, None], len(known), axis=1)
+        row = np.arange(len(known)) * width
+        for _ in range(max(1, depth)):
+            low = values[row + flat.feature[at]] <= flat.threshold[at]
+            at = np.where(low, flat.left[at], flat.right[at])
+        ends = np.zeros(len(x) + 1, np.int32)
+        ends[known + 1] = trees
+        return pa.ListArray.from_arrays(
+            pa.array(np.cumsum(ends, dtype=np.int32)), pa.array(flat.value[at].T.ravel()), mask=x.is_null())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, WALK_ROWS):
+                batch = whole.slice(start, WALK_ROWS)
+                x = batch.column("_x")
+                yield pa.RecordBatch.from_arrays([*batch.columns[:-1], leaves(x)], [*batch.schema.names[:-1], "_x"])
 
-    row = ([int(v) for v in root], col["feature"].tolist(), col["threshold"].tolist(), place("left").tolist(),
-           place("right").tolist(), col["value"].tolist())
-    return nodes.sparkSession.createDataFrame(
-        [row], "root array<int>, feature array<int>, threshold array<double>, left array<int>, right array<int>, value array<double>")
+    return run
 
 
 def leaf_values(df: DataFrame, nodes: DataFrame, x: Column, depth: int, name: str = "leaves") -> DataFrame:
     """Add, per row, the value of the leaf of each tree (in the order of the trees) that ``x`` reaches."""
-    m = F.col("_trees")
-
-    def step(at: Column, _) -> Column:
-        f = m["feature"][at]
-        goes_left = F.element_at("_x", F.greatest(f, F.lit(0)) + 1) <= m["threshold"][at]
-        return F.when(f < 0, at).when(goes_left, m["left"][at]).otherwise(m["right"][at])
-
-    flat = _flat(nodes)
-    down = F.transform(m["root"], lambda root: F.aggregate(F.sequence(F.lit(1), F.lit(max(1, depth))), root, step))
-    walked = df.withColumn("_x", x).withColumn("_trees", flat.select(F.struct(*flat.columns)).scalar())
-    walked = walked.withColumn("_at", F.when(F.col("_x").isNotNull(), down))
-    return walked.withColumn(name, F.transform("_at", lambda p: m["value"][p])).drop("_x", "_trees", "_at")
+    ready = df.withColumn("_x", F.transform(x, lambda v: v.cast("double")))
+    schema = StructType([*df.schema.fields, StructField("_x", ArrayType(DoubleType()))])
+    return ready.mapInArrow(_walked(_flat(nodes), depth), schema).withColumnRenamed("_x", name)
 
 
 def importances(nodes: DataFrame, names: list[str], per_tree: bool = True, weighted: bool = True) -> DataFrame:

@@ -25,7 +25,7 @@ from hazardspark.session import materialize, new_path
 NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil_sand_0_5cm", "soil_silt_0_5cm",
            "soil_bulk_density_0_5cm")
 CATEGORICAL = ("land_cover",)
-TASK_ROWS = 20_000  # rows of a task of the iterative fits
+TASK_ROWS = 20_000  # rows worth a task of the iterative fits
 SIDE_BY_SIDE = 8  # fits, folds and seeds whose jobs run at a time
 
 
@@ -65,13 +65,16 @@ def missing_features(df: DataFrame, numeric=NUMERIC) -> DataFrame:
 def _training_rows(df: DataFrame, label: str, numeric, categorical, parts: int | None) -> tuple[DataFrame, int]:
     """The rows with all numeric features, cached for the many passes of a fit, and their count.
 
-    Iterative fits run thousands of short stages; ``parts`` sets in how many partitions at
-    most the rows are kept (by default one for each ``TASK_ROWS`` rows). Forests draw their
+    Iterative fits run thousands of short stages; ``parts`` sets in how many even partitions the
+    rows are kept (by default one for each ``TASK_ROWS`` rows, but no more than there are cores:
+    a level of a forest shuffles its histograms once for each partition). Forests draw their
     samples per partition, so a fit repeats for the same partitions only.
     """
     rows = df.where(complete(numeric) & F.col(label).isNotNull()).select(*numeric, *categorical, label)
     n = rows.count()
-    return rows.coalesce(max(1, -(-n // TASK_ROWS)) if parts is None else parts).persist(), n
+    if parts is None:
+        parts = min(max(1, -(-n // TASK_ROWS)), df.sparkSession.sparkContext.defaultParallelism)
+    return (rows.coalesce(1) if parts == 1 else rows.repartition(parts)).persist(), n
 
 
 def _fit(rows: DataFrame, n: int, classifier, numeric, categorical) -> PipelineModel:
@@ -99,8 +102,10 @@ def fit_logistic(df: DataFrame, c: float = 1.0, label: str = "label", numeric=NU
 
 def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, leaf: int = 3, seed: int = 42, label: str = "label",
                numeric=NUMERIC, categorical=CATEGORICAL, parts: int | None = None) -> PipelineModel:
+    """Random forest. The node of a row is kept beside it, so no level sends the trees to its tasks."""
     rows, n = _training_rows(df, label, numeric, categorical, parts)
-    clf = RandomForestClassifier(labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed)
+    clf = RandomForestClassifier(
+        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True)
     return _fit(rows, n, clf, numeric, categorical)
 
 
@@ -186,7 +191,7 @@ def walked_probability(df: DataFrame, model: PipelineModel, prob: str = "walked"
     """Add the probability of a fitted forest by walking its node table, beside :func:`score`."""
     nodes, forest = ensembles.forest_nodes(model, df.sparkSession), model.stages[-1]
     known = complete(next(s for s in model.stages if isinstance(s, VectorAssembler)).getInputCols())
-    ready = model.transform(df).withColumn("_in", F.when(known, vector_to_array("features")))
+    ready = model.transform(df).select(*df.columns, F.when(known, vector_to_array("features")).alias("_in"))
     walked = ensembles.leaf_values(ready, nodes, F.col("_in"), forest.getMaxDepth(), "_leaves")
     mean = F.aggregate("_leaves", F.lit(0.0), lambda s, v: s + v) / F.lit(float(forest.getNumTrees))
     return walked.withColumn(prob, mean).select(*df.columns, prob)

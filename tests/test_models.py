@@ -4,6 +4,8 @@ import math
 import random
 import threading
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Observation, functions as F
@@ -270,3 +272,54 @@ def test_folds_and_seeds_are_fitted_at_the_same_time(data):
     out = models.seed_stability(placed, "block", "id", [1, 2, 3], {"logistic": fit}, **COLS).collect()
     assert [(r.model, r.seed) for r in out] == [("logistic", 1), ("logistic", 2), ("logistic", 3)]
     assert all(r.roc_auc > 0.85 for r in out)
+
+
+def test_tasks_cut_the_nodes_and_send_one_row_a_node():
+    """Blocks dealt to two tasks give the cuts of one task; rows follow the nodes, not the bins."""
+    rng = np.random.default_rng(5)
+    borders = [[np.linspace(0.01, 0.99, 200)] * 3] * 2
+    x = rng.random((5000, 3))
+    batch = pa.RecordBatch.from_pydict({
+        "fit": pa.array(rng.integers(0, 2, 5000), pa.int32()), "key": rng.integers(-2**62, 2**62, 5000),
+        "y": (x[:, 1] > 0.4).astype(float), "x": x.tolist()})
+    drawn, settings = np.array([True, True, False]), boosting.Settings(depth=3)
+    growing = [boosting._Tree(3), boosting._Tree(3)]
+    growing[0].split(0, 0, 99)
+
+    def sums(rows, level):
+        blocks = boosting._binned(borders, np.array([0.1, -0.2]))(iter([rows]))
+        return list(boosting._histograms(2, [], growing, level, drawn, settings, 0)(blocks))
+
+    def cuts(parts):
+        found = [c for b in boosting._cuts(drawn, settings)(iter(parts)) for c in b.to_pylist()]
+        return sorted(found, key=lambda c: c["slot"])
+
+    for level, slots in ((0, [-2, -1, 0, 1]), (1, [0, 1])):  # the second fit has no split
+        whole = sums(batch, level)
+        assert sorted(s for b in whole for s in b.column("slot").to_pylist()) == slots
+        one = cuts(whole)
+        assert one == cuts(sums(batch.slice(0, 1700), level) + sums(batch.slice(1700), level))
+        assert [c["slot"] for c in one] == slots
+        assert all(c["feature"] == 1 and 0 < c["nl"] < c["n"] for c in one if c["slot"] >= 0)
+
+
+def test_tasks_of_a_level_follow_the_cores():
+    assert [boosting._parts(n, 12) for n in (1, 30_000, 900_000, 4_800_000, 4_800_001)] == [1, 2, 12, 12, 24]
+
+
+def test_forest_rows_lie_in_even_partitions(data):
+    """No more than there are cores, and no partition of a file's size."""
+    many = data.coalesce(1).withColumn("i", F.explode(F.sequence(F.lit(1), F.lit(400))))
+    rows, n = models._training_rows(many, "label", ("a", "b"), ("kind",), None)
+    sizes = [r["count"] for r in rows.groupBy(F.spark_partition_id()).count().collect()]
+    rows.unpersist()
+    assert n == 240_000 and len(sizes) == 8 and max(sizes) - min(sizes) <= 8
+
+
+def test_walk_keeps_rows_without_features(spark):
+    nodes = spark.createDataFrame(
+        [(0, 0, 0, 0.5, 1, 2, 1.0, 2.0, None), (0, 1, -1, None, -1, -1, None, 1.0, 0.25), (0, 2, -1, None, -1, -1, None, 1.0, 0.75),
+         (1, 0, -1, None, -1, -1, None, 2.0, 0.5)], ensembles.NODES)
+    df = spark.createDataFrame([(1, [0.5]), (2, None), (3, [0.6]), (4, [float("nan")])], "id int, x array<double>")
+    got = {r.id: r.leaves for r in ensembles.leaf_values(df, nodes, F.col("x"), 1).collect()}
+    assert got == {1: [0.25, 0.5], 2: None, 3: [0.75, 0.5], 4: [0.75, 0.5]}
