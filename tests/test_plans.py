@@ -148,3 +148,15 @@ def test_window_reads_few_rows_of_clustered_storage(spark, conf):
     assert spark.read.parquet(path).count() == 120003
     per_file = spark.read.parquet(path).groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0]
     assert per_file < 25000  # the 40,000 rows of the popular place are not one task
+
+
+def test_rows_of_a_packed_file_are_not_broadcast(spark, tmp_path):
+    """A million rows in a file below the broadcast threshold are shuffled, a short table is not."""
+    spark.range(1_000_000).coalesce(1).write.parquet(f"{tmp_path}/many")
+    spark.range(10).coalesce(1).write.parquet(f"{tmp_path}/few")
+    many, few = (spark.read.parquet(f"{tmp_path}/{n}") for n in ("many", "few"))
+    size = sum(p.stat().st_size for p in (tmp_path / "many").glob("*.parquet"))
+    assert 2 << 20 < size < 10 << 20
+    wide = many.withColumns({c: F.col("id") % 7 for c in "abcd"})
+    assert "BroadcastHashJoin" not in plan(wide.join(many.withColumn("z", F.col("id")), "id"))
+    assert "BroadcastHashJoin" in plan(wide.join(few, "id"))
