@@ -26,6 +26,7 @@ NUMERIC = ("elevation", "slope", "aspect", "curvature", "soil_clay_0_5cm", "soil
            "soil_bulk_density_0_5cm")
 CATEGORICAL = ("land_cover",)
 TASK_ROWS = 20_000  # rows worth a task of the iterative fits
+PASS_MB = 64  # histograms of a forest that a task fills in one pass; what the driver sends and gets follows them
 SIDE_BY_SIDE = 8  # fits, folds and seeds whose jobs run at a time
 
 
@@ -105,7 +106,8 @@ def fit_forest(df: DataFrame, trees: int = 200, depth: int = 10, leaf: int = 3,
     """Random forest. The node of a row is kept beside it, so no level sends the trees to its tasks."""
     rows, n = _training_rows(df, label, numeric, categorical, parts)
     clf = RandomForestClassifier(
-        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True)
+        labelCol=label, numTrees=trees, maxDepth=depth, minInstancesPerNode=leaf, seed=seed, cacheNodeIds=True,
+        maxMemoryInMB=PASS_MB)
     return _fit(rows, n, clf, numeric, categorical)
 
 

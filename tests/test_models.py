@@ -323,3 +323,15 @@ def test_walk_keeps_rows_without_features(spark):
     df = spark.createDataFrame([(1, [0.5]), (2, None), (3, [0.6]), (4, [float("nan")])], "id int, x array<double>")
     got = {r.id: r.leaves for r in ensembles.leaf_values(df, nodes, F.col("x"), 1).collect()}
     assert got == {1: [0.25, 0.5], 2: None, 3: [0.75, 0.5], 4: [0.75, 0.5]}
+
+
+def test_forest_in_many_passes_is_whole(data, monkeypatch):
+    """Rows keep their node, and passes of few histograms grow as many trees, as deep."""
+    monkeypatch.setattr(models, "PASS_MB", 0)  # a node a pass
+    small = models.fit_forest(data, trees=3, depth=4, **COLS)
+    monkeypatch.undo()
+    forest = models.fit_forest(data, trees=3, depth=4, **COLS).stages[-1]
+    assert small.stages[-1].getMaxMemoryInMB() == 0 and forest.getCacheNodeIds() and forest.getMaxMemoryInMB() == 64
+    assert small.stages[-1].getNumTrees == forest.getNumTrees == 3
+    assert abs(small.stages[-1].totalNumNodes - forest.totalNumNodes) < forest.totalNumNodes / 3
+    assert auc(models.score(data, small)) > 0.85
